@@ -136,7 +136,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n consecutive word hashes from each place on (len(words) - n + 1 of them)."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    out = mix(words[: len(words) - n + 1] + np.uint64(n) * C1)
+    out = mix(words[: len(words) - n + 1] + np.uint64(n * int(C1) & (1 << 64) - 1))
     for k in range(1, n):
         out = out * C1 ^ words[k : len(words) - n + 1 + k]
         out = mix(out) if k == n - 1 else out ^ (out >> np.uint64(29))
