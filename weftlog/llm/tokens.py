@@ -17,6 +17,8 @@ MEMO = 600_000
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#*$%&()\-]*)").fullmatch
 
 
+#: What keeps a text from being lower-cased and cut into words, commas and full stops beforehand.
+HARD = re.compile(r"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff .,\n]|[.,][.,]").search
 #: Parts the words that are encoded in one call; PLAIN has no words with it.
 MARK = "|"
 
@@ -25,6 +27,13 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def cut(text: str) -> list[str]:
+    """Pieces whose ids make up the text's. Most texts give few kinds of pieces: lower-case words, commas, full stops."""
+    if HARD(text):
+        return text.replace("\n", " ").split(" ")
+    return text.lower().replace(",", " , ").replace(".", " . ").split()
+
+
 class WordTokenizer:
     """ids(texts) gives for each text its ids as little-endian unsigned 32-bit integers."""
 
@@ -63,7 +72,7 @@ class WordTokenizer:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 256):
-            pieces = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 256]]
+            pieces = [cut(t or "") for t in texts[i : i + 256]]
             new = set().union(*pieces).difference(self.memo)
             if new and len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
