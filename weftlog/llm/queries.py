@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op8_benchmark_decontamination
 from .packing import op7_best_fit_packing
 from .quality import op6_quality_rules
+from .repeats import op5_repeated_substrings
 from .secrets import op1_secret_scan
 from .token_files import op3_token_files
 from .urls import op10_url_filter
@@ -13,6 +14,7 @@ from .warc import op9_warc
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_token_files": op3_token_files,
+    "op5_repeated_substrings": op5_repeated_substrings,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
