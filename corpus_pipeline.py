@@ -19,12 +19,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more) stays: that of the smallest id.
 
-    Rows without an id stay. Of rows that share the smallest id and the group, one stays.
+    Rows without an id stay. Of rows that share an id and the whole text, one stays; other rows that share an id are told
+    apart by nothing that later stages have, so they stay or go together.
     """
-    own = [f"`{c}`" for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns]
     groups = jaccard.similar_groups(docs, 5, 80, 100).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(groups, docs["doc_id"].cast("long") == groups["__gone"], "left_anti").select(*own)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    several = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__several"))
+    if several.isEmpty():
+        return kept
+    same = kept["doc_id"] == several["__several"]
+    return kept.join(several, same, "left_anti").unionByName(kept.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
