@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_benchmark_decontamination
 from .jaccard import op4_jaccard_join
+from .licenses import op2_license_scan
 from .packing import op7_best_fit_packing
 from .quality import op6_quality_rules
 from .repeats import op5_repeated_substrings
@@ -14,6 +15,7 @@ from .warc import op9_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_repeated_substrings": op5_repeated_substrings,
