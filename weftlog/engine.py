@@ -17,6 +17,7 @@ from .operators import steps as S
 from .plans.nodes import Query, Step
 from .plans.parser import parse
 from .sources.catalog import Connector, FileConnector, MemoryConnector, NotFound, Unsupported, made
+from .sources.remote import RemoteConnector
 
 VIEWS = "views"
 
@@ -79,8 +80,11 @@ class Engine:
         return q
 
     def lower(self, q: Query, env: dict[str, Query]) -> DataFrame:
-        df, env = None, self.scope(q, env)
-        for step in q.steps:
+        df, env, steps = None, self.scope(q, env), q.steps
+        if steps and steps[0].kind == "scan" and "raw" not in steps[0].args and isinstance(source := self.connectors.get(steps[0].args["connector"]), RemoteConnector):
+            df, done = source.pushed(self.spark, steps[0].args["collection"], steps[1:])
+            steps = steps[1 + done :]
+        for step in steps:
             df = self.apply(df, step, env)
         if df is None:
             raise Unsupported("the query is empty")

@@ -63,11 +63,16 @@ def nested(pairs: list[tuple[tuple, Val]]) -> Val:
         size = max(k for k in inner if isinstance(k, int)) + 1
         cells = [inner.get(i, Val(V.null(), VARIANT)) for i in range(size)]
         t, cols = (cells[0].type, [cells[0].column]) if size == 1 else unify(cells)
-        return Val(F.array(*cols), T.ArrayType(t))
+        return Val(F.when(any_there([inner[k] for k in inner if isinstance(k, int)]), F.array(*cols)), T.ArrayType(t))
     inner = {k: v for k, v in inner.items() if v.col is not None}
     if not inner:
         return MISSING
-    return Val(F.struct(*(v.col.alias(k) for k, v in inner.items())), T.StructType([T.StructField(k, v.type) for k, v in inner.items()]))
+    return Val(F.when(any_there(list(inner.values())), F.struct(*(v.col.alias(k) for k, v in inner.items()))), T.StructType([T.StructField(k, v.type) for k, v in inner.items()]))
+
+
+def any_there(parts: list[Val]) -> Column:
+    """Whether one of the parts is not missing; without any, what holds them is missing too."""
+    return reduce(Column.__or__, [v.column.isNotNull() for v in parts])
 
 
 def laid_out(df: DataFrame, items: tuple[Item, ...]) -> dict[str, Val]:
