@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .quality import again
 
 LEAST, GRAM = 50, 16
 #: Bytes of text in a block, and text bytes whose anchors go to one bucket.
-BLOCK, BUCKET = 4 << 20, 32 << 20
+BLOCK, BUCKET = 3 << 20, 12 << 20
 #: Surroundings in one suffix array, about.
-CHUNK = 60_000
+CHUNK = 8_000
 #: Bytes of text whose anchors are found at once.
 STRIP = 128 << 10
 ONE = np.uint64(1)
@@ -36,6 +38,16 @@ def sliding(values: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(out[: len(values) - n + 1], out[n - width : n - width + len(values) - n + 1]) if width < n else out
 
 
+def gram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of grams of 16 bytes, given as two integers."""
+    return common.mix(first * common.C1 ^ (second * common.C2 >> np.uint64(7))) & ~ONE
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Anchors have small hashes, by which they were chosen; these are even over the whole range."""
+    return common.mix(h ^ common.C3) & ~ONE
+
+
 def anchors(data: np.ndarray, offs: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes (even numbers) of the anchors: grams whose hash is the least in some window of one row."""
     span, parts = least - GRAM + 1, []
@@ -46,14 +58,14 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int = LEAST) -> tuple[np.
             continue
         view = common.loads(data[a:b])
         n = b - a - GRAM + 1
-        h = common.mix(view[:n] * common.C1 ^ (view[8 : n + 8] * common.C2 >> np.uint64(7))) & ~ONE
+        h = gram_hash(view[:n], view[8 : n + 8])
         padded = np.zeros(n + span - 1, np.uint64)
         low = padded[span - 1 : n]  # the least hash of the window that starts here, 0 where rows end in it
         low[:] = sliding(h, span, np.minimum)
         for end, begin in zip((offs[i + 1 : j + 1] - a).tolist(), (offs[i:j] - a).tolist(), strict=True):
             low[max(end - least + 1, begin) : end] = 0
         places = np.flatnonzero((sliding(padded, span, np.maximum) == h) & (h > 0))
-        parts.append((places + a, h[places]))
+        parts.append((places + a, spread(h[places])))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
@@ -83,6 +95,48 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     return out.reshape(keys.shape)
 
 
+def repeated(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The places whose suffix (equal keys: equal to the depth that matters) a smaller document has, by the suffix order's previous and next smaller documents."""
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    back = nearest_smaller(doc)
+    ahead = len(doc) - 1 - nearest_smaller(doc[::-1])[::-1]
+    found = ((back >= 0) & (key[np.maximum(back, 0)] == key)) | ((ahead < len(doc)) & (key[np.minimum(ahead, len(doc) - 1)] == key))
+    return order[found]
+
+
+def earlier_by_place(texts: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for very many surroundings of one anchor, in little room: equal strings of one anchor start at one place of their rows."""
+    n, width = texts.shape
+    low, high = np.full(n, width, np.int64), np.zeros(n, np.int64)
+    for start in range(width - least + 1):
+        rows = np.flatnonzero((left <= start) & (start + least <= right))
+        if len(rows) > 1:
+            part = np.ascontiguousarray(texts[rows, start : start + least]).view(f"V{least}").ravel()
+            found = rows[repeated(np.unique(part, return_inverse=True)[1], docs[rows])]
+            low[found] = np.minimum(low[found], start)
+            high[found] = start + least
+    return np.minimum(low, high), high
+
+
+def half_keys(texts: np.ndarray, hashes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each surrounding a hash of the anchor with half of what stands before it, and with half of what follows.
+
+    A string over the anchor has the one or the other whole, so a surrounding that shares neither repeats nothing. 0: the
+    document does not reach that far.
+    """
+    half, size = before // 2, -(-(before // 2) // 8) * 8
+    out = []
+    for begin, clip in ((before - half, texts[:, -2]), (before + GRAM, texts[:, -1] - np.minimum(texts[:, -1], GRAM))):
+        part = np.zeros((len(texts), size), np.uint8)
+        part[:, :half] = texts[:, begin : begin + half]
+        key = hashes ^ np.uint64(begin)
+        for x in part.view(np.uint64).T:
+            key = common.mix(key * common.C1 ^ x)
+        out.append(np.where(clip >= half, key | ONE, 0))
+    return out[0], out[1]
+
+
 def earlier(texts: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The stretch (from, to) of each surrounding that strings of smaller documents cover; from = to where there is none.
 
@@ -91,6 +145,8 @@ def earlier(texts: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.nda
     previous and the next one of a smaller document are the earlier occurrences with the longest common prefix.
     """
     n, width = texts.shape
+    if n > CHUNK:
+        return earlier_by_place(texts, docs, left, right, least)
     padded = np.zeros((n, width + 8), np.uint8)
     padded[:, :width] = texts
     view = np.lib.stride_tricks.sliding_window_view(padded, 8, axis=1)[:, :width]
@@ -104,13 +160,7 @@ def earlier(texts: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.nda
     place = np.arange(starts)
     valid = ((place >= left[:, None]) & (place + least <= right[:, None])).ravel()
     at = np.flatnonzero(valid)
-    doc, key = np.repeat(docs, starts)[at], rank.ravel()[at]
-    order = np.argsort(key, kind="stable")
-    doc, key = doc[order], key[order]
-    back = nearest_smaller(doc)
-    ahead = len(doc) - 1 - nearest_smaller(doc[::-1])[::-1]
-    found = ((back >= 0) & (key[np.maximum(back, 0)] == key)) | ((ahead < len(doc)) & (key[np.minimum(ahead, len(doc) - 1)] == key))
-    row, col = np.divmod(at[order[found]], starts)
+    row, col = np.divmod(at[repeated(rank.ravel()[at], np.repeat(docs, starts)[at])], starts)
     low, high = np.full(n, width, np.int64), np.zeros(n, np.int64)
     np.minimum.at(low, row, col)
     np.maximum.at(high, row, col + least)
@@ -169,7 +219,27 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
 
 
-def _announce(least: int, n: int):
+def hash_bytes(size: int) -> int:
+    """Leading bytes of hashes that tell the anchors of a text of so many bytes apart, but for one in some thousands."""
+    return min(8, -(-(max(1, size // 16).bit_length() + 14) // 8))
+
+
+def shortened(h: np.ndarray, width: int) -> np.ndarray:
+    """The leading bytes as integers, the lowest bit clear."""
+    return (h >> np.uint64(64 - 8 * width)) & ~ONE
+
+
+def to_bytes(h: np.ndarray, width: int) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def from_bytes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _announce(least: int, n: int, width: int):
     """Each block's kinds of anchors by bucket; a hash with its lowest bit set has several documents in the block itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,26 +252,30 @@ def _announce(least: int, n: int):
                 at = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
                 if len(at):
                     several = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-                    h = h[at] | several.astype(np.uint64)
-                    cuts = np.searchsorted(bucket_of(h, n), np.arange(n + 1, dtype=np.uint64))
+                    cuts = np.searchsorted(bucket_of(h[at], n), np.arange(n + 1, dtype=np.uint64))
+                    h = shortened(h[at], width) | several.astype(np.uint64)
                     full = np.flatnonzero(np.diff(cuts))
-                    yield common.table(bucket=pa.array(full, pa.int32()), block=pa.array([number.as_py()] * len(full), pa.int64()), hashes=pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()))
+                    yield common.table(bucket=pa.array(full, pa.int32()), block=pa.array([number.as_py()] * len(full), pa.int64()), hashes=pa.array([to_bytes(h[cuts[k] : cuts[k + 1]], width) for k in full], pa.binary()))
 
     return run
 
 
-def _shared(told: pa.Table) -> pa.Table:
+def _shared(width: int):
     """The anchors of a bucket that more than one block has, or more than one document of a block, for each of the blocks."""
-    lists = [np.frombuffer(x, np.uint64) for x in told["hashes"].to_pylist()]
-    s = np.sort(np.concatenate(lists) if lists else np.zeros(0, np.uint64))
-    same = (s[1:] & ~ONE) == (s[:-1] & ~ONE)
-    several = np.unique(np.concatenate([s[1:][same], s[s & ONE == ONE]]) & ~ONE)
-    found = []
-    for h in lists:
-        h = h & ~ONE
-        place = np.minimum(np.searchsorted(several, h), max(0, len(several) - 1))
-        found.append(h[several[place] == h].tobytes() if len(several) else b"")
-    return pa.table({"block": told["block"], "hashes": pa.array(found, pa.binary())}).filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    def run(told: pa.Table) -> pa.Table:
+        lists = [from_bytes(x, width) for x in told["hashes"].to_pylist()]
+        s = np.sort(np.concatenate([*lists, np.zeros(0, np.uint64)]))
+        same = (s[1:] & ~ONE) == (s[:-1] & ~ONE)
+        several = np.unique(np.concatenate([s[1:][same], s[s & ONE == ONE]]) & ~ONE)
+        found = []
+        for h in lists:
+            h = h & ~ONE
+            place = np.minimum(np.searchsorted(several, h), max(0, len(several) - 1))
+            found.append(to_bytes(h[several[place] == h], width) if len(several) else b"")
+        return pa.table({"block": told["block"], "hashes": pa.array(found, pa.binary())}).filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    return run
 
 
 def packed(**arrays) -> bytes:
@@ -209,7 +283,7 @@ def packed(**arrays) -> bytes:
 
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpacked(raw: bytes) -> dict[str, np.ndarray]:
@@ -220,19 +294,29 @@ def unpacked(raw: bytes) -> dict[str, np.ndarray]:
     return pickle.loads(zstandard.decompress(raw))
 
 
-def _surround(least: int, n: int):
+def keys_of(texts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the surroundings: of their bytes, and how many of them belong to the document on either side."""
+    out = hashes.copy()
+    for part in texts.view(np.uint64).T:
+        out = common.mix(out * common.C1 ^ part)
+    return out
+
+
+def _surround(least: int, n: int, short: int):
     """The distinct surroundings of a block's shared anchors, each with its first document, and where they stand."""
     before = least - GRAM
     width = before + least
 
     def run(blocks: pa.Table, shared: pa.Table) -> pa.Table:
         out: dict[str, list] = {"bucket": [], "block": [], "payload": []}
+        common.release()
         if blocks.num_rows and shared.num_rows:
             row = blocks.to_pylist()[0]
             data, offs, ids, none = block = opened(row["ids"], row["ends"], row["data"])
             places, hashes, rows = anchored(block, least)
-            known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in shared["hashes"].to_pylist()]))
-            hit = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+            known = np.sort(np.concatenate([from_bytes(x, short) for x in shared["hashes"].to_pylist()]))
+            brief = shortened(hashes, short)
+            hit = known[np.minimum(np.searchsorted(known, brief), len(known) - 1)] == brief
             places, hashes, rows = places[hit], hashes[hit], rows[hit]
             left = np.minimum(before, places - offs[rows])
             right = np.minimum(least, offs[rows + 1] - places)
@@ -243,9 +327,7 @@ def _surround(least: int, n: int):
             cut = np.flatnonzero((left < before) | (right < least))
             texts[cut, :width] *= (col >= before - left[cut, None]) & (col < before + right[cut, None])
             texts[:, width], texts[:, width + 1] = left, right
-            key = hashes.copy()
-            for part in texts.view(np.uint64).T:
-                key = common.mix(key * common.C1 ^ part)
+            key = keys_of(texts, hashes)
             order = np.lexsort((key, hashes))
             h, k = hashes[order], key[order]
             new = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
@@ -260,7 +342,7 @@ def _surround(least: int, n: int):
                 x, y = ends[i], ends[j]
                 out["bucket"].append(b)
                 out["block"].append(row["block"])
-                out["payload"].append(packed(h=h[at[i:j]], k=k[at[i:j]], first=first[i:j], texts=texts[one[i:j], : width + 2], places=places[order[x:y]], group=(group[x:y] - i).astype(np.uint32)))
+                out["payload"].append(packed(first=first[i:j], texts=texts[one[i:j], : width + 2], places=places[order[x:y]].astype(np.uint32 if len(data) < 1 << 32 else np.int64), group=(group[x:y] - i).astype(np.uint32)))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int64(), pa.binary()), strict=True)})
 
     return run
@@ -272,8 +354,16 @@ def _compare(least: int):
     width = before + least
 
     def run(told: pa.Table) -> pa.Table:
+        common.release()
         parts = [unpacked(x) for x in told["payload"].to_pylist()]
-        h, k, first = (np.concatenate([p[x] for p in parts]) for x in ("h", "k", "first"))
+        first, h, k, halves = np.concatenate([p["first"] for p in parts]), [], [], []
+        for p in parts:
+            texts = np.zeros((len(p["texts"]), -(-(width + 2) // 8) * 8), np.uint8)
+            texts[:, : width + 2] = p["texts"]
+            h.append(spread(gram_hash(*(np.ascontiguousarray(texts[:, i : i + 8]).view(np.uint64).ravel() for i in (before, before + 8)))))
+            k.append(keys_of(texts, h[-1]))
+            halves.append(half_keys(p["texts"], h[-1], before))
+        h, k, halves = np.concatenate(h), np.concatenate(k), [np.concatenate(x) for x in zip(*halves, strict=True)]
         order = np.lexsort((first, k, h))
         new = np.concatenate([np.ones(1, bool), (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])])
         one = order[new]  # the first document of each surrounding, all blocks together
@@ -281,10 +371,8 @@ def _compare(least: int):
         group[order] = np.cumsum(new) - 1
         low, high = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
         anchor = h[one]
-        begins = np.flatnonzero(np.concatenate([np.ones(1, bool), anchor[1:] != anchor[:-1]]))
-        sizes = np.diff(np.append(begins, len(anchor)))
-        todo = np.flatnonzero(np.repeat(sizes > 1, sizes))  # an anchor with one surrounding has nothing else to be like
-        at = np.cumsum([0, *(len(p["h"]) for p in parts)])
+        todo = np.flatnonzero(reduce(np.logical_or, (again(x[one]) & (x[one] > 0) for x in halves)))
+        at = np.cumsum([0, *(len(p["first"]) for p in parts)])
         i = 0
         while i < len(todo):
             j = min(len(todo), i + CHUNK)
@@ -316,11 +404,12 @@ def _cut(least: int, with_kept: bool):
 
     def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+        common.release()
         for row in blocks.to_pylist():
             data, offs, ids, none = opened(row["ids"], row["ends"], row["data"])
             starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x in map(unpacked, found["payload"].to_pylist()):
-                g, places = x["group"], x["places"]
+                g, places = x["group"], x["places"].astype(np.int64)
                 doc, first, clips = ids[np.searchsorted(offs, places, "right") - 1], x["first"][g], x["clips"][g].astype(np.int64)
                 later = doc > first
                 a = np.where(later, places - clips[:, 0], places - before + x["low"][g])
@@ -368,10 +457,11 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, with_kept: bool = False,
     common.tune(spark)
     rows = common.two(docs, id_col, text_col).select(F.spark_partition_id().alias("task"), "id", "text")
     blocks = common.save(rows.mapInArrow(_blocks(block), BLOCKS), codec="none")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(blocks.agg(F.sum("size")).first()[0] or 0) // BUCKET))
-    told = blocks.select("block", "ids", "ends", "data").mapInArrow(_announce(least, n), "bucket int, block long, hashes binary")
-    shared = told.groupBy("bucket").applyInArrow(_shared, "block long, hashes binary")
-    around = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surround(least, n), "bucket int, block long, payload binary")
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    n, width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET)), hash_bytes(total)
+    told = blocks.select("block", "ids", "ends", "data").mapInArrow(_announce(least, n, width), "bucket int, block long, hashes binary")
+    shared = told.groupBy("bucket").applyInArrow(_shared(width), "block long, hashes binary")
+    around = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surround(least, n, width), "bucket int, block long, payload binary")
     found = around.groupBy("bucket").applyInArrow(_compare(least), "block long, payload binary")
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(least, with_kept), CUT + ", kept binary" * with_kept)
 

@@ -93,6 +93,10 @@ def tokenizer(file: str) -> WordTokenizer:
     return _made[file]
 
 
+def forget() -> None:
+    _made.clear()
+
+
 def vocabulary_size(file: str) -> int:
     from tokenizers import Tokenizer
 
