@@ -152,6 +152,7 @@ def _search(block, window: int, has_state: bool):
     """Adds what one block of items finds to each row's state: a bit for each word that is hit, the items, the longest match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         suites = Suites(block.value, window)
         for batch in common.rebatch(batches, SHARD_BYTES):
             f = search(batch.column(1), suites)
@@ -206,6 +207,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col
 
 def _clean(block, window: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         suites = Suites(block.value, window)
         for batch in common.rebatch(batches, SHARD_BYTES):
             yield batch.filter(pa.array(search(batch.column(at), suites)["longest"] == 0))
@@ -222,4 +224,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("longest_match")

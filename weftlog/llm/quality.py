@@ -17,7 +17,7 @@ LEAST_WORDS, WINDOW, MOST_REPEAT = 50, 3, (50, 100)
 #: one line at the head and the foot of a short text makes.
 COVERAGE = {5: 0.40, 7: 0.35, 10: 0.30}
 #: The same for repeated lines (later copies), by lines and by characters; and symbols a word.
-MOST_DUP_LINES, MOST_DUP_LINE_CHARS, MOST_SYMBOLS = 0.30, 0.20, 0.5
+MOST_DUP_LINES, MOST_DUP_LINE_CHARS, MOST_SYMBOLS = 0.50, 0.30, 0.25
 NEWLINE = common.byte_class(b"\n")
 
 
@@ -119,6 +119,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def _keep(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             yield batch.filter(pa.array(measure(batch.column(at))["kept"]))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .decontaminate import op8_benchmark_decontamination
 from .jaccard import op4_jaccard_join
 from .licenses import op2_license_scan
@@ -26,4 +27,10 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_jaccard_join": oracles.OP4,
+    "op5_repeated_substrings": oracles.OP5,
+    "op6_quality_rules": oracles.OP6,
+    "op8_benchmark_decontamination": oracles.OP8,
+    "op9_warc": oracles.OP9,
+}
