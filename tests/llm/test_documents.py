@@ -107,7 +107,7 @@ def test_packing(spark, rows, most_open):
             at += length
         assert at <= 2048
     if most_open == 256:
-        assert len(bins) <= -(-total // 2048) + 4
+        assert len(bins) <= -(-total // 2048) + 2
     assert packing.pack(table(spark, []), FILE).count() == 0
 
 

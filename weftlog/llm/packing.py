@@ -1,8 +1,8 @@
 """Best-fit packing: documents to token sequences of fixed length by a bounded-space online best fit.
 
 Each task keeps at most OPEN bins open; a bit of one integer says for each free space whether an open bin has it, so the
-tightest fit is one shift and one lowest bit. When all bins are in use the fullest closes. Bins that a task leaves open go on
-as units to a second round of the same packing, over FOLD tasks' bins at a time.
+tightest fit is one shift and one lowest bit. When all bins are in use the fullest closes. The pieces in bins that a task
+leaves open are packed again by a second round of the same packing, the longest first, FOLD tasks' pieces at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import tokenizer
 
-OPEN, FOLD = 256, 64
+OPEN, FOLD, OPEN_AGAIN = 256, 32, 4096
 #: Bins of a task are numbered from task << TASK_BITS on.
 TASK_BITS = 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, full boolean"
@@ -91,14 +91,15 @@ def _pack(file: str, end_id: int, size: int, most_open: int):
     return run
 
 
-def _fold(size: int, most_open: int) -> Callable[[pa.Table], pa.Table]:
-    def run(units: pa.Table) -> pa.Table:
-        rows = sorted(zip(units["bin"].to_pylist(), units["used"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-        packer, names, out = Packer(size, most_open), {}, []
-        for b, used in rows:
-            n, base = packer.put(used)
-            out.append((b, names.setdefault(n, b), base))
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("bin", "sequence", "base"), zip(*out, strict=True) if out else [[]] * 3, strict=True)})
+def _fold(size: int, most_open: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The second round; its input has a bound: FOLD tasks' open bins, each of size tokens at most."""
+
+    def run(key: tuple, pieces: pa.Table) -> pa.Table:
+        lengths, bins, places = (pieces[k].to_numpy() for k in ("length", "bin", "place"))
+        order, packer = np.lexsort((places, bins, -lengths)), Packer(size, most_open)
+        put = np.array([packer.put(n) for n in lengths[order].tolist()], np.int64).reshape(-1, 2)
+        first = (1 << 62) + (key[0].as_py() << TASK_BITS - 8)
+        return pa.table({"bin": bins[order], "place": places[order], "sequence": first + put[:, 0], "base": put[:, 1]})
 
     return run
 
@@ -113,11 +114,10 @@ def pack(docs: DataFrame, file: str, size: int = 2048, end_id: int = 0, most_ope
     common.tune(spark)
     rows = common.two(docs, id_col, text_col).select(F.spark_partition_id().alias("task"), "id", "text")
     made = common.save(rows.mapInArrow(_pack(file, end_id, size, most_open), PIECES))
-    units = made.filter("not full").groupBy("bin").agg(F.sum("length").alias("used"))
-    group = F.shiftright("bin", TASK_BITS).alias("task")
-    folded = units.groupBy(F.floor(group / FOLD).alias("fold")).applyInArrow(_fold(size, most_open), "bin long, sequence long, base long")
+    fold = F.floor(F.shiftright("bin", TASK_BITS) / FOLD).cast("long").alias("fold")
+    folded = made.filter("not full").select(fold, "bin", "place", "length").groupBy("fold").applyInArrow(_fold(size, OPEN_AGAIN), "bin long, place long, sequence long, base long")
     shared = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    over = made.filter("not full").join(folded, "bin").select(*shared, F.col("sequence").alias("sequence_id"), (F.col("base") + F.col("place")).alias("offset"))
+    over = made.filter("not full").join(folded, ["bin", "place"]).select(*shared, F.col("sequence").alias("sequence_id"), F.col("base").alias("offset"))
     return made.filter("full").select(*shared, F.col("bin").alias("sequence_id"), F.col("place").alias("offset")).unionByName(over)
 
 
