@@ -127,12 +127,22 @@ LONG_WORD = 512
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[starts[i]:ends[i]]; equal bytes give equal hashes wherever they stand."""
+    out = np.empty(len(starts), np.uint64)
+    view = loads(data)
+    for i in range(0, len(starts), WORDS_AT_ONCE):  # few at once stay in the cache
+        part = slice(i, i + WORDS_AT_ONCE)
+        out[part] = _hash_some(data, view, starts[part], ends[part])
+    return out
+
+
+WORDS_AT_ONCE = 1 << 16
+
+
+def _hash_some(data: np.ndarray, view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     size = (ends - starts).astype(np.int64)
     out = mix(size.astype(np.uint64) * C1)
-    if not len(size):
-        return out
-    view, long = loads(data), size > LONG_WORD
-    at, todo, left = starts.copy(), np.flatnonzero(~long), size
+    long = size > LONG_WORD
+    todo = np.flatnonzero(~long)
     at, left = starts[todo], size[todo]
     while len(todo):
         keep = np.minimum(left, 8).astype(np.uint64)
@@ -145,6 +155,14 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def slices(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The column in parts of about so many bytes."""
+    parts = max(1, -(-column.nbytes // most))
+    step = max(1, -(-len(column) // parts))
+    for i in range(0, len(column), step):
+        yield column.slice(i, step)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n consecutive word hashes from each place on (len(words) - n + 1 of them)."""
     if len(words) < n:

@@ -22,18 +22,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .quality import again
 from .repeats import bucket_of, packed, unpacked
 
 #: How many elements are known to be frequent and come last in the order: a hint, which changes no result.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 #: An element counts as frequent in a batch from so many sets on, and over all from so many.
-OFTEN, OFTEN_IN_ALL = 4, 24
+OFTEN, OFTEN_IN_ALL = 3, 12
 #: Lists of so many members are paired at once; longer ones start with pivots.
 SHORT = 4
 #: Cost of verifying, in list entries for each element of a set; and sizes beyond which sets are never light.
 VERIFY, MOST_LIGHT = 1.0, 40
 #: Postings that go to one bucket, about; pivots of more partners than this are dealt to several tasks.
-BUCKET, SPOKES = 2_000_000, 2_000
+BUCKET, SPOKES = 500_000, 2_000
+#: Bytes of text that are hashed at once.
+AT_ONCE = 2 << 20
+#: The logarithm of the most bits of a filter of ids: 32 MB.
+BLOOM = 28
 
 
 class Rule:
@@ -52,6 +57,10 @@ class Rule:
     def missing(self, n: int) -> int:
         return n - self.least(n)
 
+    def both(self, a, b):
+        """Elements that sets of a and b share at least if they link."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
     def alike(self, a, b):
         """Whether sizes allow a link."""
         return (self.num * a <= self.den * b) & (self.num * b <= self.den * a)
@@ -63,6 +72,10 @@ def _tie(key: bytes) -> int:
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its n-word shingles; fewer words: of the whole sequence; none: empty."""
+    return [s for part in common.slices(column, AT_ONCE) for s in _shingle_sets(part, n)]
+
+
+def _shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     data, offs = common.text_bytes(column)
     starts, ends, first = common.runs(common.WORD[data], offs)
     words = common.hash_words(common.LOWER[data], starts, ends)
@@ -81,7 +94,8 @@ def _frequent(n: int):
     """Of each batch: the elements that many of its sets have, and how many sets of each small size there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.rebatch(batches, common.BATCH_BYTES):
+        common.release()
+        for batch in common.rebatch(batches, common.BATCH_BYTES // 2):
             sets = shingle_sets(batch.column(1), n)
             s = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
             at = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
@@ -105,13 +119,46 @@ def subset_keys(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(sizes)
 
 
-SETS = "id long, n long, key binary, tie long, entries binary, sizes binary"
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of at least len(s) places (a power of 2): whether an odd number of elements fall there.
+
+    Each element that two sets do not share changes one bit at most, so the bits that differ bound those elements from below.
+    """
+    places = 64
+    while places < len(s):
+        places *= 2
+    return np.packbits(np.bincount((common.mix(s) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
+
+
+#: Words of 64 bits in the sketch that all sets have in the same length.
+BRIEF = 8
+
+
+def brief(s: np.ndarray) -> list[int]:
+    """A sketch of BRIEF words, whatever the size of the set."""
+    return np.packbits(np.bincount((common.mix(s ^ common.C3) & np.uint64(64 * BRIEF - 1)).astype(np.int64), minlength=64 * BRIEF) & 1, bitorder="little").view(np.int64).tolist()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Places where two sketches differ, the longer one folded to the shorter one's length."""
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a)
+    if len(a) < len(b):
+        x, y, a, b = y, x, b, a
+        size = len(a)
+    while size > len(b):
+        size //= 2
+        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
+    return (x ^ y).bit_count()
+
+
+SETS = "id long, n long, key binary, tie long, entries binary, sizes binary, sketch binary, brief array<bigint>"
 
 
 def _sets(n: int, rule: Rule, boundary: int, frequent):
     """Each row's set: its size and digest, and its entries (size 0: an element of the inverted lists; else a subset's size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         known, rank = frequent.value
         near = rule.least(boundary)
         for batch in batches:
@@ -135,7 +182,7 @@ def _sets(n: int, rule: Rule, boundary: int, frequent):
                     c.append(np.zeros(min(take, len(head)), np.uint32))
                 entries.append(np.concatenate([*e, np.zeros(0, np.uint64)]).tobytes())
                 sizes.append(np.concatenate([*c, np.zeros(0, np.uint32)]).tobytes())
-            yield common.table(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), key=pa.array(keys, pa.binary()), tie=np.array([_tie(k) for k in keys], np.int64), entries=pa.array(entries, pa.binary()), sizes=pa.array(sizes, pa.binary()))
+            yield common.table(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), key=pa.array(keys, pa.binary()), tie=np.array([_tie(k) for k in keys], np.int64), entries=pa.array(entries, pa.binary()), sizes=pa.array(sizes, pa.binary()), sketch=pa.array([sketch(s) for s in sets], pa.binary()), brief=pa.array([brief(s) for s in sets], pa.list_(pa.int64())))
 
     return run
 
@@ -158,7 +205,7 @@ def boundary_of(sizes: list[tuple[int, int]], rule: Rule) -> int:
 POSTED = "bucket int, kind int, payload binary"
 #: Kinds of rows: postings, pairs to verify, members of long lists, links.
 POST, PAIRS, MEMBERS, LINKS = 0, 1, 2, 3
-FIELDS = ("element", "id", "tie", "n", "size")
+FIELDS = ("element", "id", "tie", "n", "size", "pos")
 
 
 def _grouped(x: dict[str, np.ndarray], by: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -172,14 +219,19 @@ def _grouped(x: dict[str, np.ndarray], by: tuple[str, ...]) -> tuple[dict[str, n
 
 def _posts(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in common.rebatch(batches, common.BATCH_BYTES // 4):
             ids, ties, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
             entries, sizes = (batch.column(k).to_pylist() for k in (3, 4))
             row = np.repeat(np.arange(len(ids)), [len(e) // 8 for e in entries])
-            x = {"element": np.frombuffer(b"".join(entries), np.uint64), "id": ids[row], "tie": ties[row], "n": n[row].astype(np.uint32), "size": np.frombuffer(b"".join(sizes), np.uint32)}
-            order = np.argsort(x["element"], kind="stable")
+            size = np.frombuffer(b"".join(sizes), np.uint32)
+            heads = np.concatenate([np.zeros(1, np.int64), np.cumsum(size == 0)])  # of inverted lists so far
+            begin = np.cumsum([0, *(len(e) // 8 for e in entries)])[:-1]
+            x = {"element": np.frombuffer(b"".join(entries), np.uint64), "id": ids[row], "tie": ties[row], "n": n[row].astype(np.uint32), "size": size, "pos": (heads[:-1] - heads[begin[row]]).astype(np.uint32)}
+            even = common.mix(x["element"] ^ common.C3)  # the first elements of sets have small hashes
+            order = np.argsort(even, kind="stable")
             x = {k: v[order] for k, v in x.items()}
-            cuts = np.searchsorted(bucket_of(x["element"], n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
+            cuts = np.searchsorted(bucket_of(even[order], n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cuts)).tolist()
             yield common.table(bucket=pa.array(full, pa.int32()), kind=pa.array([POST] * len(full), pa.int32()), payload=pa.array([packed(**{k: v[cuts[b] : cuts[b + 1]] for k, v in x.items()}) for b in full], pa.binary()))
 
@@ -201,16 +253,14 @@ def _lists(rule: Rule, boundary: int):
     """What the lists of a bucket give: links of light sets, pairs to verify, and the members of lists that stay open."""
 
     def run(told: pa.Table) -> pa.Table:
+        common.release()
         parts = [unpacked(p) for p in told["payload"].to_pylist()]
-        x, begins = _grouped({k: np.concatenate([p[k] for p in parts]) for k in FIELDS}, ("n", "id", "tie"))
+        keep = again(np.concatenate([p["element"] for p in parts]))  # one that is alone in its list finds nothing
+        x, begins = _grouped({k: np.concatenate([p[k] for p in parts])[keep] for k in FIELDS}, ("n", "id", "tie"))
+        del parts
         count = np.diff(begins)
-        # alone in its list: nothing to find
-        keep = np.repeat(count > 1, count)
-        x = {k: v[keep] for k, v in x.items()}
-        count = count[count > 1]
-        begins = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
         head = np.repeat(begins[:-1], count)
-        at, subset, n = np.arange(len(head)), x["size"] > 0, x["n"].astype(np.int64)
+        at, subset, n, pos = np.arange(len(head)), x["size"] > 0, x["n"].astype(np.int64), x["pos"].astype(np.int64)
         # light: the smallest member links with all that the subset is large enough for; if two others link there, both do
         size = x["size"].astype(np.int64)
         links = pairs_of(x, head[m := subset & rule.holds(size, n[head], n)], at[m])
@@ -218,6 +268,8 @@ def _lists(rule: Rule, boundary: int):
         length, a, b = np.repeat(count, count), [], []
         for k in range(1, SHORT):
             i = np.flatnonzero(~subset & (length <= SHORT) & (at - head >= k))
+            # a pair is found in the list of its first common element, behind which enough must be left
+            i = i[np.minimum(n[i] - pos[i], n[i - k] - pos[i - k]) >= rule.both(n[i], n[i - k])]
             a.append(i - k)
             b.append(i)
         long = ~subset & (length > SHORT)
@@ -237,7 +289,7 @@ def _lists(rule: Rule, boundary: int):
         a, b = np.concatenate(a), np.concatenate(b)
         ok = rule.alike(n[a], n[b]) & (np.maximum(n[a], n[b]) >= boundary)
         pairs = pairs_of(x, a[ok], b[ok])
-        rows = [(LINKS, links, "a_id"), (PAIRS, pairs, "a_id"), (MEMBERS, {k: x[k][long] for k in ("element", "id", "tie", "n")}, "id")]
+        rows = [(LINKS, links, "a_id"), (PAIRS, pairs, "a_id"), (MEMBERS, {k: x[k][long] for k in ("element", "id", "tie", "n", "pos")}, "id")]
         rows = [(kind, packed(**v)) for kind, v, k in rows if len(v[k])]
         return pa.table({"bucket": pa.array([0] * len(rows), pa.int32()), "kind": pa.array([k for k, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
 
@@ -262,6 +314,7 @@ def _verify(n: int, rule: Rule):
     """Rows come by group (a pivot's, or a part of its partners), the pivot first; gives the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         group = pivot = None
         for batch in batches:
             sets = shingle_sets(batch.column(5), n)
@@ -280,6 +333,53 @@ def _verify(n: int, rule: Rule):
     return run
 
 
+def _plausible(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(k).to_pylist() for k in (4, 5, 6, 7))
+            ok = [differing(s, t) <= a + b - 2 * rule.both(a, b) for a, b, s, t in zip(n, m, x, y, strict=True)]
+            yield batch.select(list(range(4))).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose sketches do not rule a link out."""
+    for p in "ab":
+        pairs = pairs.join(nodes.select(F.col("id").alias(f"{p}_id"), F.col("tie").alias(f"{p}_tie"), F.col("n").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_sketch")), [f"{p}_id", f"{p}_tie"])
+    return pairs.select("a_id", "a_tie", "b_id", "b_tie", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_plausible(rule), PAIR)
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in a Bloom filter of the ids, which spares most others the way to the join that follows.
+
+    The filter's size follows the number of ids up to BLOOM bits, whatever they are; beyond that it lets more rows through.
+    """
+    spark = rows.sparkSession
+    ids = ids.select("id").distinct()
+    bits = 1 << min(BLOOM, max(16, (16 * ids.count()).bit_length()))
+    h = F.xxhash64("id")
+    places = ids.select(F.explode(F.array(*(F.pmod(F.shiftrightunsigned(h, k), F.lit(bits)) for k in (0, 31)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toPandas()  # bits / 64 rows at most
+    table = np.zeros(bits // 64, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    kept = spark.sparkContext.broadcast(table)
+    found = rows.select("id", "text", F.pmod(h, F.lit(bits)).alias("p"), F.pmod(F.shiftrightunsigned(h, 31), F.lit(bits)).alias("q")).mapInArrow(_only(kept), "id long, text string")
+    return found
+
+
+def _only(kept):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = kept.value
+        for batch in batches:
+            if batch.num_rows:
+                p, q = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+                ok = ((table[p >> 6] >> (p & 63)) & (table[q >> 6] >> (q & 63)) & 1).astype(bool)
+                yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
+
+
 def verified(pairs: DataFrame, rows: DataFrame, n: int, rule: Rule) -> DataFrame:
     """Those of the distinct pairs whose whole sets are similar. rows: id and text of all documents.
 
@@ -291,7 +391,7 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int, rule: Rule) -> DataFrame
     spokes = dealt.select("a_id", "a_tie", "salt", F.col("b_id").alias("id"), F.col("b_tie").alias("tie"))
     pivots = degree.select("a_id", "a_tie", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("degree") / SPOKES) - 1)).alias("salt"), F.col("a_id").alias("id"), F.col("a_tie").alias("tie"))
     wanted = spokes.unionByName(pivots)
-    texts = wanted.join(rows, "id").select("a_id", "a_tie", "salt", "id", "tie", "text")
+    texts = wanted.join(only(rows, wanted), "id").select("a_id", "a_tie", "salt", "id", "tie", "text")
     first = F.when((F.col("a_id") == F.col("id")) & (F.col("a_tie") == F.col("tie")), 0).otherwise(1)
     ordered = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a_id", "a_tie", "salt").sortWithinPartitions("a_id", "a_tie", "salt", first)
     return ordered.mapInArrow(_verify(n, rule), PAIR)
@@ -318,14 +418,19 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def unsettled(members: DataFrame, parts: DataFrame, tested: DataFrame, rule: Rule, boundary: int) -> DataFrame:
+def unsettled(members: DataFrame, nodes: DataFrame, parts: DataFrame, tested: DataFrame, rule: Rule, boundary: int) -> DataFrame:
     """The pairs of a list's members that are in different components and were not compared yet: each member outside the list's largest component with all others."""
-    m = members.join(parts, list(NODE), "left").select("element", *NODE, "n", F.when(F.col("c_id").isNull(), F.struct(F.col("id").alias("c_id"), F.col("tie").alias("c_tie"))).otherwise(F.struct("c_id", "c_tie")).alias("c"))
+    m = members.join(parts, list(NODE), "left").select("element", *NODE, "n", "pos", F.when(F.col("c_id").isNull(), F.struct(F.col("id").alias("c_id"), F.col("tie").alias("c_tie"))).otherwise(F.struct("c_id", "c_tie")).alias("c"))
     counts = m.groupBy("element", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("element").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    m = common.save(m.join(counts.select("element", "main"), "element"))
-    few = m.filter("c != main").select("element", F.col("id").alias("x_id"), F.col("tie").alias("x_tie"), F.col("n").alias("x_n"), F.col("c").alias("x_c"))
+    m = m.join(counts.select("element", "main"), "element").join(nodes.select(*NODE, "brief"), list(NODE))
+    m = common.save(m.select("element", *NODE, "n", "pos", "c", "main", *(F.col("brief")[k].alias(f"s{k}") for k in range(BRIEF))))
+    few = m.filter("c != main").select("element", F.col("id").alias("x_id"), F.col("tie").alias("x_tie"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("c").alias("x_c"), *(F.col(f"s{k}").alias(f"x_s{k}") for k in range(BRIEF)))
     size = (F.lit(rule.num) * F.col("n") <= F.lit(rule.den) * F.col("x_n")) & (F.lit(rule.num) * F.col("x_n") <= F.lit(rule.den) * F.col("n")) & (F.greatest("n", "x_n") >= boundary)
-    found = few.join(m, "element").filter((F.col("c") != F.col("x_c")) & size)
+    left = F.lit(rule.num + rule.den) * F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) >= F.lit(rule.num) * (F.col("n") + F.col("x_n"))
+    # what the sketches differ in, two sets differ in at least; what a link lets differ is (den - num) / (den + num) of their sizes
+    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"x_s{k}"))) for k in range(1, BRIEF)), F.bit_count(F.col("s0").bitwiseXOR(F.col("x_s0"))))
+    near = F.lit(rule.num + rule.den) * apart <= F.lit(rule.den - rule.num) * (F.col("n") + F.col("x_n"))
+    found = few.join(m, "element").filter((F.col("c") != F.col("x_c")) & size & left & near)
     x, y = F.struct(F.col("x_id").alias("id"), F.col("x_tie").alias("tie")), F.struct("id", "tie")
     pairs = found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).select(F.col("a.id").alias("a_id"), F.col("a.tie").alias("a_tie"), F.col("b.id").alias("b_id"), F.col("b.tie").alias("b_tie")).distinct()
     return pairs.join(tested, pairs.columns, "left_anti")
@@ -350,18 +455,19 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     order = np.argsort(known, kind="stable")
     frequent = spark.sparkContext.broadcast((known[order], len(known) - order))  # the most frequent rank highest
     sets = common.save(rows.mapInArrow(_sets(n, rule, boundary, frequent), SETS))
-    nodes = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("tie").alias("tie"), F.max("n").alias("n"), F.min_by(F.struct("entries", "sizes"), "id").alias("e"))
+    nodes = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("tie").alias("tie"), F.max("n").alias("n"), F.min_by(F.struct("entries", "sizes", "sketch", "brief"), "id").alias("e"))
+    nodes = common.save(nodes.select("key", "id", "tie", "n", "e.*"))
     total = sets.agg(F.sum(F.octet_length("entries") / 8)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
-    posts = nodes.select("id", "tie", "n", "e.entries", "e.sizes").mapInArrow(_posts(buckets), POSTED)
+    posts = nodes.select("id", "tie", "n", "entries", "sizes").mapInArrow(_posts(buckets), POSTED)
     made = common.save(posts.groupBy("bucket").applyInArrow(_lists(rule, boundary), POSTED))
     of = lambda kind, names, schema: made.filter(F.col("kind") == kind).select("payload").mapInArrow(_unpack(names), schema)
     four = ("a_id", "a_tie", "b_id", "b_tie")
     pairs = common.save(of(PAIRS, four, PAIR).distinct())
-    links = common.save(verified(pairs, rows, n, rule).unionByName(of(LINKS, four, PAIR)).distinct())
+    links = common.save(verified(common.save(plausible(pairs, nodes, rule)), rows, n, rule).unionByName(of(LINKS, four, PAIR)).distinct())
     parts = components(links)
-    members = of(MEMBERS, ("element", *NODE, "n"), "element long, id long, tie long, n long")
-    more = common.save(verified(common.save(unsettled(members, parts, pairs, rule, boundary)), rows, n, rule))
+    members = of(MEMBERS, ("element", *NODE, "n", "pos"), "element long, id long, tie long, n long, pos long")
+    more = common.save(verified(common.save(plausible(unsettled(members, nodes, parts, pairs, rule, boundary), nodes, rule)), rows, n, rule))
     if not more.isEmpty():
         parts = components(links.unionByName(more))
     found = nodes.select("key", "id", "tie").join(parts, list(NODE), "left").select("key", F.coalesce("c_id", "id").alias("component_id"))
