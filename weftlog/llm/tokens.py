@@ -11,14 +11,20 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from . import common
 
 MEMO = 600_000
 #: Letters that are composed already and whose lower case is one letter, then ASCII symbols: two pieces of the tokenizer.
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#*$%&()\-]*)").fullmatch
 
 
-#: What keeps a text from being lower-cased and cut into words, commas and full stops beforehand.
-HARD = re.compile(r"[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff .,\n]|[.,][.,]").search
+#: UTF-8 bytes of texts that can be lower-cased and cut into words, commas and full stops beforehand: those letters, blanks,
+#: newlines (C3 97 and C3 B7 are the two signs among the letters of C3), and the two marks, which must not be neighbours.
+EASY = common.byte_class(bytes([*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0), *b" .,\n"]))
+EASY[[0x97, 0xB7]] = False
+MARKS = common.byte_class(b".,")
 #: Parts the words that are encoded in one call; PLAIN has no words with it.
 MARK = "|"
 
@@ -27,11 +33,19 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def cut(text: str) -> list[str]:
-    """Pieces whose ids make up the text's. Most texts give few kinds of pieces: lower-case words, commas, full stops."""
-    if HARD(text):
-        return text.replace("\n", " ").split(" ")
-    return text.lower().replace(",", " , ").replace(".", " . ").split()
+def hard(column: pa.Array) -> list[bool]:
+    """Which texts have to be taken as they are. Most have few kinds of pieces: lower-case words, commas, full stops."""
+    data, offs = common.text_bytes(column)
+    bad = ~EASY[data]
+    marks = MARKS[data]
+    bad[1:] |= marks[1:] & marks[:-1]  # neighbours in two texts count too, which is only slower
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(bad, dtype=np.int32)])
+    return (total[offs[1:]] > total[offs[:-1]]).tolist()
+
+
+def cut(text: str, is_hard: bool) -> list[str]:
+    """Pieces whose ids make up the text's."""
+    return text.replace("\n", " ").split(" ") if is_hard else text.lower().replace(",", " , ").replace(".", " . ").split()
 
 
 class WordTokenizer:
@@ -50,35 +64,48 @@ class WordTokenizer:
         (self.mark,) = self.bare.encode(MARK, add_special_tokens=False).ids
 
     def learn(self, words: list[str]) -> None:
+        """Pieces as they stand in texts."""
         plain, rest = [], []
         for w in words:
             if m := PLAIN(w):
-                plain.append((w, m))
+                plain.append((w, f"{m[1].lower()} {m[2]}"))
             else:
                 rest.append(w)
-        groups = [plain[i : i + 128] for i in range(0, len(plain), 128)]
-        lines = [MARK.join(f"{m[1].lower()} {m[2]} " if m[2] else f"{m[1].lower()} " for _, m in g).replace(MARK, f" {MARK} ") for g in groups]
-        for g, e in zip(groups, self.bare.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+        self.learn_cut([w for w, _ in plain], [x for _, x in plain])
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.memo[w] = packed(e.ids)
+
+    def learn_cut(self, words: list[str], spelled: list[str]) -> None:
+        """Words of letters and marks, in lower case with blanks between the two."""
+        lines = [f" {MARK} ".join(spelled[i : i + 128]) for i in range(0, len(words), 128)]
+        for k, e in enumerate(self.bare.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
             raw, at = ids.tobytes(), 0
             ends.append(len(raw))
-            for (w, _), end in zip(g, ends, strict=True):
+            for w, end in zip(words[128 * k : 128 * k + 128], ends, strict=True):
                 self.memo[w] = raw[at:end]
                 at = end + 4
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[w] = packed(e.ids)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         out = []
-        for i in range(0, len(texts), 256):
-            pieces = [cut(t or "") for t in texts[i : i + 256]]
-            new = set().union(*pieces).difference(self.memo)
-            if new and len(self.memo) + len(new) > MEMO:
+        for i in range(0, len(column), 256):
+            part = column.slice(i, 256)
+            flags = hard(part)
+            pieces = [cut(t or "", h) for t, h in zip(part.to_pylist(), flags, strict=True)]
+            easy = set().union(*(p for p, h in zip(pieces, flags, strict=True) if not h))
+            other = set().union(*(p for p, h in zip(pieces, flags, strict=True) if h))
+            new = easy.difference(self.memo)
+            more = other.difference(self.memo, easy)
+            if len(self.memo) + len(new) + len(more) > MEMO:
                 self.memo.clear()
-                new = set().union(*pieces)
+                new, more = easy, other - easy
             if new:
-                self.learn(list(new))
+                words = list(new)
+                self.learn_cut(words, words)
+            if more:
+                self.learn(list(more))
             out += [b"".join(map(self.memo.__getitem__, p)) for p in pieces]
         return out
 
