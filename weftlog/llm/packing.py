@@ -78,7 +78,7 @@ def _pack(file: str, end_id: int, size: int, most_open: int):
         for batch in batches:
             if packer is None:
                 packer = Packer(size, most_open, batch.column(0)[0].as_py() << TASK_BITS)
-            for doc, ids in zip(batch.column(1).to_pylist(), t.ids(batch.column(2).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(1).to_pylist(), t.ids(batch.column(2)), strict=True):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[a : a + 4 * size]
