@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common, rans
 from .tokens import tokenizer, vocabulary_size
 
-TOKENIZED = "shard int, doc_id long, before long, n long, ids binary"
+TOKENIZED = "shard int, doc_id long, before long, n long, ids binary, counts binary"
 BLOCKS = "shard int, before long, doc_ids array<bigint>, lengths binary, n_tokens long, lanes int, mark_steps array<int>, mark_words array<int>, mark_states binary, payload binary, crc32 long"
 #: A block is closed when it has so many tokens; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 20
@@ -25,29 +25,28 @@ def _tokenize(file: str, end_id: int, width: str):
         t, end = tokenizer(file), np.array([end_id], width).tobytes()
         shard = before = None
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in t.ids(batch.column(2).to_pylist())]
+            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in t.ids(batch.column(2))]
             sizes = np.array([len(x) // len(end) for x in ids], np.int64)
-            if shard is None:
+            if shard is None and len(ids):
                 shard, before = batch.column(0)[0].as_py(), 0
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            yield common.table(shard=pa.array([shard] * len(ids), pa.int32()), doc_id=batch.column(1), before=starts, n=sizes, ids=pa.array(ids, pa.binary()))
+            counts = np.bincount(np.frombuffer(b"".join(ids), width)).astype("<i8")
+            # how often each id occurs in the batch stands in a column of its own, in the batch's first row
+            yield common.table(shard=pa.array([shard] * len(ids), pa.int32()), doc_id=batch.column(1), before=starts, n=sizes, ids=pa.array(ids, pa.binary()), counts=pa.array([counts.tobytes()] + [None] * (len(ids) - 1) if ids else [], pa.binary()))
 
     return run
 
 
-def _count(width: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            c = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width))
-            if len(c) > len(total):
-                c, total = total, c
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1, np.int64)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            c = np.frombuffer(raw, "<i8")
+            total = np.concatenate([total, np.zeros(max(0, len(c) - len(total)), np.int64)])
             total[: len(c)] += c
-        at = np.flatnonzero(total)
-        yield common.table(token=at.astype(np.int64), n=total[at].astype(np.int64))
-
-    return run
+    at = np.flatnonzero(total)
+    yield common.table(token=at.astype(np.int64), n=total[at])
 
 
 def _encode(freq: np.ndarray, bits: int, width: str):
@@ -90,10 +89,10 @@ def write_token_files(docs: DataFrame, path: str, file: str, end_id: int = 1, id
     ranged = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     ranged = ranged.select(F.spark_partition_id().alias("shard"), "id", "text")
     made = common.save(ranged.mapInArrow(_tokenize(file, end_id, width), TOKENIZED), f"{path}/tokenized")
-    counts = made.select("ids").mapInArrow(_count(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").collect()  # a row for each id of the vocabulary at most
+    counts = made.select("counts").filter("counts is not null").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").collect()  # a row for each id of the vocabulary at most
     bits = max(16, math.ceil(math.log2(max(2, len(counts)))) + 2)
     freq = rans.quantize([r.token for r in counts], [r.n for r in counts], bits)
-    made.mapInArrow(_encode(freq, bits, width), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    made.drop("counts").mapInArrow(_encode(freq, bits, width), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(i), int(f), bits) for i, f in enumerate(freq) if f], "token int, freq long, bits int").coalesce(1).write.parquet(f"{path}/table")
     shards = made.groupBy("shard").agg(F.sum("n").alias("n"))  # a row for each partition of the sort
     shards.withColumn("shard_start", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["shard_start"]).write.parquet(f"{path}/shards")
