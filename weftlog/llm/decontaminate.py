@@ -24,7 +24,7 @@ WINDOW = 10
 #: Characters of benchmark text that go to the tasks at once; a larger benchmark is searched block after block.
 BLOCK_CHARS = 8 << 20
 #: Bytes of documents in one suffix array.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -50,8 +50,17 @@ def by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+#: Bytes of text that are measured at once.
+AT_ONCE = 2 << 20
+
+
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
     """The measures of each row, as arrays."""
+    parts = [_measure(part) for part in common.slices(column, AT_ONCE)] or [_measure(column)]
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def _measure(column: pa.Array) -> dict[str, np.ndarray]:
     data, offs = common.text_bytes(column)
     starts, ends, first = common.runs(common.WORD[data], offs)
     words, rows = common.hash_words(data, starts, ends), len(offs) - 1
