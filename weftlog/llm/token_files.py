@@ -16,13 +16,15 @@ from .tokens import tokenizer, vocabulary_size
 
 TOKENIZED = "shard int, doc_id long, before long, n long, ids binary, counts binary"
 BLOCKS = "shard int, before long, doc_ids array<bigint>, lengths binary, n_tokens long, lanes int, mark_steps array<int>, mark_words array<int>, mark_states binary, payload binary, crc32 long"
+#: Words that a worker keeps; tokenization is most of this operator's work.
+WORDS = 1_200_000
 #: A block is closed when it has so many tokens; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 20
 
 
 def _tokenize(file: str, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, end = tokenizer(file), np.array([end_id], width).tobytes()
+        t, end = tokenizer(file, WORDS), np.array([end_id], width).tobytes()
         shard = before = None
         for batch in batches:
             ids = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in t.ids(batch.column(2))]

@@ -2,7 +2,7 @@
 
 The vocabulary file in use lower-cases, composes (NFC) and then cuts at white space and between letters, digits and symbols
 before any merge, so a text's ids are those of its pieces one after another. Pieces are kept in a bounded table of a worker
-(MEMO entries; emptied when full, which costs time and never changes ids).
+(MEMO entries, or as many as asked for; emptied when full, which costs time and never changes ids).
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def cut(text: str, is_hard: bool) -> list[str]:
 class WordTokenizer:
     """ids(texts) gives for each text its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, most: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -61,6 +61,7 @@ class WordTokenizer:
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[str, bytes] = {}
+        self.most = most
         (self.mark,) = self.bare.encode(MARK, add_special_tokens=False).ids
 
     def learn(self, words: list[str]) -> None:
@@ -98,7 +99,7 @@ class WordTokenizer:
             other = set().union(*(p for p, h in zip(pieces, flags, strict=True) if h))
             new = easy.difference(self.memo)
             more = other.difference(self.memo, easy)
-            if len(self.memo) + len(new) + len(more) > MEMO:
+            if len(self.memo) + len(new) + len(more) > self.most:
                 self.memo.clear()
                 new, more = easy, other - easy
             if new:
@@ -113,10 +114,11 @@ class WordTokenizer:
 _made: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(file: str) -> WordTokenizer:
-    """One for each file and worker process; its table outlives a task."""
+def tokenizer(file: str, most: int = MEMO) -> WordTokenizer:
+    """One for each file and worker process; its table, of `most` words, outlives a task."""
     if file not in _made:
-        _made[file] = WordTokenizer(file)
+        _made[file] = WordTokenizer(file, most)
+    _made[file].most = most
     return _made[file]
 
 
