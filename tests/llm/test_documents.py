@@ -264,6 +264,22 @@ def test_secrets(spark):
     assert secrets.scan(table(spark, [])).count() == 0
 
 
+def random_text(seed, n, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    return "".join(random.Random(seed).choices(letters, k=n))
+
+
+def novel_parts(text):
+    return [text[a:b] for a, b, kind in secrets.spans_of(text) if kind == "novel"]
+
+
+def test_secrets_that_stand_twice():
+    for seed in range(20):
+        token = random_text(seed, 40)
+        assert novel_parts(f"bearer {token}\nretry with bearer {token}") == [token, token]
+        assert novel_parts(f"bearer {token}{' a' * 226}bearer {token}") == [token, token]
+    assert novel_parts("auth bearer your-api-key-here0123456789abcdef") == []
+
+
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
     "this work is Licensed under the GNU general public license, version 2": "GPL-2.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "LICENSED UNDER CC BY-SA 4.0!": "CC-BY-SA-4.0",

@@ -38,12 +38,13 @@ HEX_BYTES = common.byte_class(b"0123456789abcdef")
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Compressed bytes that text[start:end] adds, a byte of it, where dictionary and surroundings are known."""
+    """Compressed bytes that text[start:end] adds, a byte of it, where dictionary and surroundings, but for copies of it, are known."""
     import zstandard as z
 
-    around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
+    part, far = text[start:end], AROUND + end - start
+    around = text[max(0, start - far) : start].replace(part, " ")[-AROUND:] + " " + text[end : end + far].replace(part, " ")[:AROUND]
     primed = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(IDENTIFIERS + around.encode("utf-8", "replace"), dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
-    raw = text[start:end].encode()
+    raw = part.encode()
     return (len(primed.compress(raw)) - len(primed.compress(b""))) / len(raw)
 
 
@@ -55,21 +56,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Strings of 16 characters and more with a digit and a letter, shortly after a sensitive word, outside the base spans, that hardly compress."""
+    """Strings of 16 characters and more with a digit and a letter, shortly after a sensitive word, outside the base spans, that hardly compress; and all copies of those."""
     words = [m.end() for m in SENSITIVE_RE.finditer(text)]
-    out: list[tuple[int, int, str]] = []
     if not words:
-        return out
-    places = np.array(words)
+        return []
+    places, novel, seen = np.array(words), set(), []
     for m in CANDIDATE.finditer(text):
         a, b = m.start(), m.start() + len(m[0].rstrip(".=-"))
-        k = int(np.searchsorted(places, a, "right")) - 1
-        if k < 0 or a - words[k] > REACH or b - a < 16 or any(a < y and x < b for x, y, _ in base):
+        if b - a < 16 or any(a < y and x < b for x, y, _ in base):
             continue
         part = text[a:b]
-        if re.search(r"[0-9]", part) and re.search(r"[A-Za-z]", part) and novelty(text, a, b) >= REMAINS:
-            out.append((a, b, "novel"))
-    return out
+        if not (re.search(r"[0-9]", part) and re.search(r"[A-Za-z]", part)):
+            continue
+        seen.append((a, b))
+        k = int(np.searchsorted(places, a, "right")) - 1
+        if part not in novel and k >= 0 and a - words[k] <= REACH and novelty(text, a, b) >= REMAINS:
+            novel.add(part)
+    return [(a, b, "novel") for a, b in seen if text[a:b] in novel]
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:
