@@ -280,6 +280,15 @@ def test_secrets_that_stand_twice():
     assert novel_parts("auth bearer your-api-key-here0123456789abcdef") == []
 
 
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+@pytest.mark.parametrize("n", [32, 64, 80, 256, 2000])
+def test_long_secrets_of_few_letters(letters, n):
+    for seed in range(10):
+        token = random_text(seed, n, letters)
+        assert novel_parts(f"auth bearer {token} then") == [token]
+    assert novel_parts(f"auth bearer {'abc1' * (n // 4)}") == [] and novel_parts("auth bearer AWS_SECRET_ACCESS_KEY_0123456789abcdef_your-api-key-here") == []
+
+
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
     "this work is Licensed under the GNU general public license, version 2": "GPL-2.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "LICENSED UNDER CC BY-SA 4.0!": "CC-BY-SA-4.0",

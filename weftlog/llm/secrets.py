@@ -25,6 +25,8 @@ SENSITIVE_RE, REACH = re.compile("|".join(SENSITIVE[:5] + SENSITIVE[6:]), re.ASC
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=\-]{16,}")
 #: The surrounding text on each side that primes the compressor, and the share of a string's bytes that must remain.
 AROUND, REMAINS = 512, 0.8
+#: Bytes that are compressed at once: zstandard leaves up to 63 literals as they are.
+PIECE = 48
 #: A dictionary of what code and configuration often hold, so that such identifiers compress away.
 IDENTIFIERS = (
     "access_token refresh_token client_secret client_id api_key secret_key private_key public_key authorization bearer "
@@ -38,14 +40,21 @@ HEX_BYTES = common.byte_class(b"0123456789abcdef")
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Compressed bytes that text[start:end] adds, a byte of it, where dictionary and surroundings, but for copies of it, are known."""
+    """Compressed bytes that text[start:end] adds, a byte of it, where dictionary and surroundings, but for copies of it, are known.
+
+    The string is compressed by pieces that are too short for zstandard to code letters by frequency, each with what stands
+    before it as known, so that only matches save bytes and random strings of few letters remain whole at every length.
+    """
     import zstandard as z
 
     part, far = text[start:end], AROUND + end - start
-    around = text[max(0, start - far) : start].replace(part, " ")[-AROUND:] + " " + text[end : end + far].replace(part, " ")[:AROUND]
-    primed = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(IDENTIFIERS + around.encode("utf-8", "replace"), dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
-    raw = part.encode()
-    return (len(primed.compress(raw)) - len(primed.compress(b""))) / len(raw)
+    around = IDENTIFIERS + (text[max(0, start - far) : start].replace(part, " ")[-AROUND:] + " " + text[end : end + far].replace(part, " ")[:AROUND]).encode("utf-8", "replace")
+    raw, added = part.encode(), 0
+    size = -(-len(raw) // -(-len(raw) // PIECE))
+    for i in range(0, len(raw), size):
+        primed = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(around + b" " + raw[max(0, i - AROUND) : i], dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+        added += len(primed.compress(raw[i : i + size])) - len(primed.compress(b""))
+    return added / len(raw)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
