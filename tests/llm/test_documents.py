@@ -289,6 +289,17 @@ def test_long_secrets_of_few_letters(letters, n):
     assert novel_parts(f"auth bearer {'abc1' * (n // 4)}") == [] and novel_parts("auth bearer AWS_SECRET_ACCESS_KEY_0123456789abcdef_your-api-key-here") == []
 
 
+def test_secrets_in_a_sensitive_block():
+    lines = [random_text(i, 64) for i in range(30)]
+    for line_end in ("\n", "\\n", "\r\n", "\n    # "):
+        pem = line_end.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+        assert [len(p) in (64, 65) and line in p for p, line in zip(novel_parts(pem), lines, strict=True)] == [True] * 30
+    token = random_text(99, 40)
+    assert novel_parts(f'{{"auth": "basic", "user": "someone", "host": "a.example.org", "port": 8080, "v": "{token}"}}') == [token]
+    assert novel_parts(f"{token} is the credential") == [token]
+    assert novel_parts(f"key {'so it goes ' * 60} {token}") == []
+
+
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
     "this work is Licensed under the GNU general public license, version 2": "GPL-2.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "LICENSED UNDER CC BY-SA 4.0!": "CC-BY-SA-4.0",

@@ -19,11 +19,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: Words that make a context sensitive (lower case), and how far before a string they may stand.
+#: Words that make a context sensitive (lower case), and what may stand between a string and an adjoining one that is in such a context.
 SENSITIVE = ("password", "passwd", "secret", "token", "api", "akia", "key", "auth", "bearer", "credential", "passphrase", "pwd")
-SENSITIVE_RE, REACH = re.compile("|".join(SENSITIVE[:5] + SENSITIVE[6:]), re.ASCII | re.IGNORECASE), 48
+SENSITIVE_RE, BETWEEN = re.compile("|".join(SENSITIVE[:5] + SENSITIVE[6:]), re.ASCII | re.IGNORECASE), re.compile(r"(?:\\[rn]|[^A-Za-z0-9]){0,32}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=\-]{16,}")
-#: The surrounding text on each side that primes the compressor, and the share of a string's bytes that must remain.
+#: The surrounding text on each side that may have the sensitive word and that primes the compressor, and the share of a string's bytes that must remain.
 AROUND, REMAINS = 512, 0.8
 #: Bytes that are compressed at once: zstandard leaves up to 63 literals as they are.
 PIECE = 48
@@ -65,21 +65,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Strings of 16 characters and more with a digit and a letter, shortly after a sensitive word, outside the base spans, that hardly compress; and all copies of those."""
-    words = [m.end() for m in SENSITIVE_RE.finditer(text)]
+    """Strings of 16 characters and more with a digit and a letter, near a sensitive word, outside the base spans, that hardly compress; and all copies of those.
+
+    Near is AROUND characters before or behind, or next to a string that is near, as the lines of a key are.
+    """
+    words = [(m.start(), m.end()) for m in SENSITIVE_RE.finditer(text)]
     if not words:
         return []
-    places, novel, seen = np.array(words), set(), []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.start(), m.start() + len(m[0].rstrip(".=-"))
-        if b - a < 16 or any(a < y and x < b for x, y, _ in base):
+    starts, ends = np.array(words).T
+    found = [(m.start(), m.start() + len(m[0].rstrip(".=-"))) for m in CANDIDATE.finditer(text)]
+    among = lambda a, b: np.searchsorted(starts, b, "right") - np.searchsorted(ends, a)
+    inside = lambda a, b: max(0, np.searchsorted(ends, b, "right") - np.searchsorted(starts, a))
+    near = [bool(among(a - AROUND, b + AROUND) > inside(a, b)) for a, b in found]
+    for order in (range(1, len(found)), range(len(found) - 2, -1, -1)):
+        step = order.step
+        for i in order:
+            x, y = sorted((i - step, i))
+            near[i] = near[i] or (near[i - step] and BETWEEN.fullmatch(text, found[x][1], found[y][0]) is not None)
+    begins, reach = [x for x, _, _ in base], np.maximum.accumulate([0, *(y for _, y, _ in base)])
+    novel, seen = set(), []
+    for (a, b), is_near in zip(found, near, strict=True):
+        if b - a < 16 or reach[np.searchsorted(begins, b)] > a:
             continue
         part = text[a:b]
         if not (re.search(r"[0-9]", part) and re.search(r"[A-Za-z]", part)):
             continue
         seen.append((a, b))
-        k = int(np.searchsorted(places, a, "right")) - 1
-        if part not in novel and k >= 0 and a - words[k] <= REACH and novelty(text, a, b) >= REMAINS:
+        if is_near and part not in novel and novelty(text, a, b) >= REMAINS:
             novel.add(part)
     return [(a, b, "novel") for a, b in seen if text[a:b] in novel]
 
