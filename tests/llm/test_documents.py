@@ -324,6 +324,30 @@ def test_licenses(spark):
     assert sorted(r.licenses for r in got if r.doc_id == 54) == ["", "Apache-2.0"]
 
 
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at',
+    "CC0-1.0": "To the extent possible under law, the author has waived\nall copyright and related rights to this work. CC0 1.0 Universal",
+}
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "// ", "# ", "    ;; "])
+def test_wrapped_licenses(spark, mark):
+    def lines(text):
+        return "\n".join(mark + x for x in text.split("\n"))
+
+    rows = [(i, f"É some words\n{lines(n)}\nmore words of prose") for i, n in enumerate(WRAPPED.values())]
+    rows += [(50, "\n".join(map(lines, WRAPPED.values()))), (51, lines(WRAPPED["GPL-3.0"].replace("General", "Lesser General"))), (52, "\n".join([*NOTICES, *NOTICES]))]
+    rows += [(53, lines(WRAPPED["MIT"].replace("is hereby", "is\nhereby")))]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, rows)).collect()}
+    assert [got[i].licenses for i in range(len(WRAPPED))] == list(WRAPPED)
+    assert got[50].licenses == ",".join(sorted(WRAPPED)) and got[50].n_licenses == len(WRAPPED)
+    assert got[51].licenses == "" and got[52].n_licenses == 2 * len(NOTICES) and got[53].licenses == "MIT"
+
+
 SPLIT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

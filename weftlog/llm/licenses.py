@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-Blocks around words that licenses use are compressed alone and with each template as raw zstandard dictionary. Templates are
+Blocks around words that licenses use, the line and then what stands around over line ends, are compressed alone and with each template as raw zstandard dictionary. Templates are
 tried in the order of what they save; the first one whose wording the block has, but for few words and no telling one (a number, a name), wins.
 """
 
@@ -41,8 +41,15 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 #: Words (lower case) that make a place worth a look.
 CUES = ("licens", "licenc", "permission is hereby", "redistribution and use", "public domain", "creative commons", "waived all copyright")
-#: Characters of a block before and after a cue, within its line; least saving; share of a template's words that may differ.
+#: The cues as they stand in lower-case text: line ends and comment marks may part their words.
+CUE_RES = [re.compile(cue.replace(" ", "[^a-z0-9]{1,40}")) for cue in CUES]
+CUE_BYTES = [re.compile(cue.replace(" ", "[^a-z0-9]{1,160}").encode()) for cue in CUES]
+#: Characters of a line's block before and after a cue; least saving; share of a template's words that may differ.
 BEFORE, AFTER, LEAST_SAVING, MOST_DIFFERENT = 160, 240, 0.25, 0.2
+#: A block over several lines has so many times the longest template's length on each side of the cue, for indents and comment marks.
+WIDER = 2
+#: What wrapped lines have between them: comment marks and white space.
+LINE_END = re.compile(r"[^\S\n]*\n(?:[\s*/#;%!>|\"'-]|//|rem\b|dnl\b)*", re.ASCII | re.IGNORECASE)
 PIECE = re.compile(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)*")
 
 
@@ -58,6 +65,7 @@ class Compressors:
 
         plain = {"level": 19, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
         self.templates = templates
+        self.reach = WIDER * max((len(t) for _, t in templates), default=0)
         self.alone = z.ZstdCompressor(**plain)
         self.primed = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), **plain) for _, t in templates]
         self.words = [[w for w, *_ in pieces(t)] for _, t in templates]
@@ -67,6 +75,9 @@ class Compressors:
             for w in words:
                 of.setdefault(w, set()).add(name)
         self.telling = [{w for w in words if w[0].isdigit() or len(of[w]) == 1 and len(words) <= 10} for words in self.words]
+        # words of short notices that hardly any other license has: a span with one is not another license's
+        names = {w for words in self.words if len(words) <= 13 for w in words if len(of[w]) == 1 and not w[0].isdigit()}
+        self.foreign = [names - {w for (n, _), words in zip(templates, self.words, strict=True) if n == name for w in words} for name, _ in templates]
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
         """What each template saves, as a share of its own size at most, the largest first."""
@@ -92,29 +103,40 @@ def wording(block: list[tuple[str, int, int]], template: list[str], telling: set
     return block[a][1], block[b - 1][2], different
 
 
+def placed(words: list[tuple[str, int, int]], c: Compressors, i: int, at: int, end: int) -> tuple[int, int, int] | None:
+    """As wording, of the notice that has the cue at at:end and no other license's name; others in the block are left out."""
+    while w := wording(words, c.words[i], c.telling[i]):
+        if w[0] < end and at < w[1]:
+            return None if any(w[0] <= a < w[1] and x in c.foreign[i] for x, a, _ in words) else w
+        words = [x for x in words if x[1] >= w[1]] if w[1] <= at else [x for x in words if x[2] <= w[0]]
+    return None
+
+
 def scan_text(text: str, c: Compressors) -> list[tuple[int, int, str, int]]:
     """Start, end, license and differing words of each notice, in order; of overlapping ones the one with fewer differences, then the longer."""
     low, places = text.lower(), []
     if len(low) != len(text):  # a few letters grow in lower case
         low = "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
-    for cue in CUES:
-        at = -1
-        while (at := low.find(cue, at + 1)) >= 0:
-            places.append((at, at + len(cue)))
+    for cue in CUE_RES:
+        places += [(m.start(), m.end()) for m in cue.finditer(low)]
     found = []
     for at, end in sorted(places):
         begin = max(text.rfind("\n", 0, at) + 1, at - BEFORE)
         stop = text.find("\n", end)
         stop = min(len(text) if stop < 0 else stop, end + AFTER)
-        block = text[begin:stop]
-        words = pieces(block)
-        for saving, i in c.ranked(block):
-            if saving < LEAST_SAVING:
-                break
-            if w := wording(words, c.words[-i], c.telling[-i]):
-                found.append((begin + w[0], begin + w[1], c.templates[-i][0], w[2]))
-                if not w[2]:
+        for begin, stop in ((begin, stop), (max(0, at - c.reach), min(len(text), end + c.reach))):
+            block = text[begin:stop]
+            words = pieces(block)
+            exact = False
+            for saving, i in c.ranked(LINE_END.sub(" ", block)):
+                if saving < LEAST_SAVING:
                     break
+                if w := placed(words, c, -i, at - begin, end - begin):
+                    found.append((begin + w[0], begin + w[1], c.templates[-i][0], w[2]))
+                    if exact := not w[2]:
+                        break
+            if exact:
+                break
     out: list[tuple[int, int, str, int]] = []
     for s in sorted(set(found), key=lambda s: (s[3], s[0] - s[1], s)):
         if all(s[1] <= o[0] or o[1] <= s[0] for o in out):
@@ -125,10 +147,8 @@ def scan_text(text: str, c: Compressors) -> list[tuple[int, int, str, int]]:
 def suspects(column: pa.Array) -> np.ndarray:
     data, offs = common.text_bytes(column)
     low, at = common.LOWER[data].tobytes(), []
-    for cue in CUES:
-        i = -1
-        while (i := low.find(cue.encode(), i + 1)) >= 0:
-            at.append(i)
+    for cue in CUE_BYTES:
+        at += [m.start() for m in cue.finditer(low)]
     return np.unique(np.searchsorted(offs, np.array(at, np.int64), "right") - 1)
 
 
