@@ -165,6 +165,34 @@ def test_similar_groups_in_long_lists(spark):
     assert jaccard.similar_groups(table(spark, [])).count() == 0
 
 
+def brute_links(rows, n, num, den):
+    """Rows as brute_groups has them, with the number of other rows that have an id and link."""
+    sets = []
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOW))
+        sets.append((i, frozenset(zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else frozenset([tuple(w)] if w else [])))
+    return collections.Counter((i, len(s), sum(a != b and j is not None and bool(s and t) and den * len(s & t) >= num * len(s | t) for b, (j, t) in enumerate(sets))) for a, (i, s) in enumerate(sets))
+
+
+@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_numbers_of_links(spark, rows, n, num, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(7)
+    base = [f"v{i}" for i in range(120)]
+    rows = [*rows, *((5000 + i, " ".join(f"u{k}" for k in range(i, i + 100))) for i in range(0, 40, 3))]
+    for i in range(50):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(120)] = f"n{r.randrange(9)}"
+        rows.append((6000 + i, " ".join(w)))
+    got = jaccard.similar_links(table(spark, rows), n, num, 100).collect()
+    assert collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_groups(rows, n, num, 100)
+    expected = brute_links(rows, n, num, 100)
+    assert collections.Counter((x.doc_id, x.n_shingles, x.n_links) for x in got) == expected
+    assert jaccard.similar_links(table(spark, [])).count() == 0
+
+
 def test_boundary_follows_cost():
     rule = jaccard.Rule(90, 100)
     assert jaccard.boundary_of([(8, 1000)], rule) > 8

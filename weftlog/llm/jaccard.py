@@ -436,14 +436,8 @@ def unsettled(members: DataFrame, nodes: DataFrame, parts: DataFrame, tested: Da
     return pairs.join(tested, pairs.columns, "left_anti")
 
 
-def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included).
-
-    Documents link when the Jaccard similarity of their sets of n-word shingles is num / den or more; a text of fewer words is
-    one shingle; null texts and texts without words have no shingles and link with nothing. Equal sets are one node. A row
-    without an id takes the component of its set, or null where no row with that set has an id. Repeated rows and ids stay,
-    each by its own text. An empty table gives no rows; other columns play no part.
-    """
+def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """id and text of all rows; their sets; the nodes (distinct sets with an id); and the component of each node that has a link."""
     spark, rule = docs.sparkSession, Rule(num, den)
     common.tune(spark)
     rows = common.two(docs, id_col, text_col)
@@ -470,9 +464,119 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     more = common.save(verified(common.save(plausible(unsettled(members, nodes, parts, pairs, rule, boundary), nodes, rule)), rows, n, rule))
     if not more.isEmpty():
         parts = components(links.unionByName(more))
-    found = nodes.select("key", "id", "tie").join(parts, list(NODE), "left").select("key", F.coalesce("c_id", "id").alias("component_id"))
-    return sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "key").join(found, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows, sets, nodes, parts
+
+
+def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included).
+
+    Documents link when the Jaccard similarity of their sets of n-word shingles is num / den or more; a text of fewer words is
+    one shingle; null texts and texts without words have no shingles and link with nothing. Equal sets are one node. A row
+    without an id takes the component of its set, or null where no row with that set has an id. Repeated rows and ids stay,
+    each by its own text. An empty table gives no rows; other columns play no part.
+    """
+    _, sets, nodes, parts = _joined(docs, n, num, den, id_col, text_col)
+    return _grouped_rows(sets, nodes, parts)
+
+
+def _grouped_rows(sets: DataFrame, nodes: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, and more columns of nodes."""
+    found = nodes.select("key", "id", "tie", *more).join(parts, list(NODE), "left").select("key", F.coalesce("c_id", "id").alias("component_id"), *more)
+    return sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "key").join(found, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
+
+
+#: Members of a component that are compared as one block, and the shared elements whose columns are multiplied at once.
+BLOCK, COLUMNS = 256, 4096
+
+
+def shared(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
+    """How many elements the sets have in common: each with each, or those before split with those from it on."""
+    count = np.array([len(s) for s in sets])
+    row, element = np.repeat(np.arange(len(sets)), count), np.concatenate(sets)
+    keep = again(element)
+    row, column = row[keep], np.unique(element[keep], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cut = len(sets) if split is None else split
+    out = np.zeros((cut, len(sets) - (split or 0)), np.int64)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (c, c + COLUMNS)))
+        has = np.zeros((len(sets), COLUMNS), np.float32)  # sums of ones, exact
+        has[row[part], column[part] - c] = 1
+        out += (has[:cut] @ has[split or 0 :].T).astype(np.int64)
+    return out
+
+
+def _count_links(n: int, rule: Rule):
+    """Rows come by component and pair of blocks; gives for each member its links there, counted by the rows that have the other's set."""
+
+    def counted(group: tuple, members: list[tuple]) -> list[tuple[int, int, int]]:
+        first, second = group[2:]
+        members.sort(key=lambda m: m[3])
+        split = None if first == second else sum(m[3] == first for m in members)
+        sets, rows = [m[4] for m in members], np.array([m[2] for m in members], np.int64)
+        size = np.array([len(s) for s in sets])
+        both = shared(sets, split)
+        a, b = (slice(None), slice(None)) if split is None else (slice(None, split), slice(split, None))
+        links = rule.holds(both, size[a][:, None], size[b][None])
+        if split is None:
+            np.fill_diagonal(links, False)
+            found = links @ rows
+        else:
+            found = np.concatenate([links @ rows[b], links.T @ rows[a]])
+        return [(m[0], m[1], int(k)) for m, k in zip(members, found, strict=True) if k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
+        group, members, out = None, {}, []
+        for batch in batches:
+            sets = shingle_sets(batch.column(8), n)
+            for s, c_id, c_tie, p, q, i, tie, block, weight in zip(sets, *(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if _tie(hashlib.blake2b(s.tobytes(), digest_size=16).digest()) != tie:
+                    continue  # another row of that id
+                if group != (c_id, c_tie, p, q):
+                    if len(members) > 1:
+                        out += counted(group, list(members.values()))
+                    group, members = (c_id, c_tie, p, q), {}
+                members[i, tie] = (i, tie, weight, block, s)
+            yield common.table(**{k: pa.array([o[j] for o in out], pa.int64()) for j, k in enumerate(("id", "tie", "k"))})
+            out = []
+        if len(members) > 1:
+            out = counted(group, list(members.values()))
+            yield common.table(**{k: pa.array([o[j] for o in out], pa.int64()) for j, k in enumerate(("id", "tie", "k"))})
+
+    return run
+
+
+def similar_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As similar_groups, with n_links: how many other rows with an id link with the row, those with an equal set among them.
+
+    Links lie within components, so the distinct sets of each component are all compared exactly, by blocks in large ones.
+    """
+    rows, sets, nodes, parts = _joined(docs, n, num, den, id_col, text_col)
+    spark, rule = docs.sparkSession, Rule(num, den)
+    weights = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = common.save(nodes.select("key", *NODE).join(weights, "key"))
+    # a component's least node has no row of its own in parts
+    members = parts.unionByName(parts.select(F.col("c_id").alias("id"), F.col("c_tie").alias("tie"), "c_id", "c_tie").distinct())
+    sizes = members.groupBy("c_id", "c_tie").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    members = members.join(nodes.select(*NODE, "rows"), list(NODE)).join(sizes, ["c_id", "c_tie"]).withColumn("block", F.pmod(F.xxhash64(*NODE), F.col("blocks")))
+    # a block meets each block, itself among them, once
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))).alias("pair")
+    members = common.save(members.select("c_id", "c_tie", *NODE, "block", "rows", "blocks"))
+    texts = members.join(only(rows, members), "id").select("c_id", "c_tie", *NODE, "block", "rows", "text", pair)
+    group = ["c_id", "c_tie", "p", "q"]
+    dealt = texts.select("c_id", "c_tie", "pair.p", "pair.q", *NODE, "block", "rows", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
+    counts = dealt.mapInArrow(_count_links(n, rule), "id long, tie long, k long").groupBy(*NODE).agg(F.sum("k").alias("k"))
+    nodes = common.save(nodes.join(counts, list(NODE), "left").select("key", *NODE, (F.col("rows") + F.coalesce("k", F.lit(0))).alias("k")))
+    found = _grouped_rows(sets, nodes, parts, "k")
+    # the row itself is one of those that have its set
+    return found.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), F.coalesce("k", F.lit(0))).otherwise(F.coalesce(F.col("k") - 1, F.lit(0))).cast("long").alias("n_links"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)
+
+
+def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_links(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90, 100)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .decontaminate import op8_benchmark_decontamination
-from .jaccard import op4_jaccard_join
+from .jaccard import op4_jaccard_join, op4_jaccard_links
 from .licenses import op2_license_scan
 from .packing import op7_best_fit_packing
 from .quality import op6_quality_rules
@@ -19,6 +19,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
     "op4_jaccard_join": op4_jaccard_join,
+    "op4_jaccard_links": op4_jaccard_links,
     "op5_repeated_substrings": op5_repeated_substrings,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
