@@ -44,6 +44,12 @@ def test_against_sql(spark, duck, name):
         assert got == in_order([d[0] for d in r.description], r.fetchall())
 
 
+def test_all_embeddings_are_expanded(spark, duck):
+    df = QUERIES["mv_expand_embeddings"](spark, SF)
+    n = duck.execute("SELECT sum(len(embedding)), count(DISTINCT vec_id) FROM embeddings").fetchone()
+    assert (df.count(), df.select("vec_id").distinct().count()) == n
+
+
 def test_filters_reach_the_scan(spark):
     plan = tables(spark, SF).explain('t.lineitem | where l_quantity > 45 and l_returnflag == "R" and l_shipdate > datetime(1995-01-01) | project l_orderkey')
     assert "GreaterThan(l_quantity,45" in plan and "EqualTo(l_returnflag,R)" in plan and "GreaterThan(l_shipdate," in plan

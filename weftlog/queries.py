@@ -76,6 +76,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "let_var": ("let big = t.orders | where o_totalprice > 150000; let keys = big | distinct o_custkey; keys | union (big | project o_custkey) | count", 'SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_totalprice > 150000) + (SELECT count(*) FROM orders WHERE o_totalprice > 150000) AS "Count"'),
     "raw_sql": ('t.nation.raw("select n_regionkey, count(*) as n from nation group by n_regionkey") | where n_regionkey < 3', "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING n_regionkey < 3"),
     "mv_expand_array": ("t.embeddings | where vec_id < 20 | mv-expand embedding | project vec_id, embedding=toreal(embedding)", "SELECT vec_id, unnest(embedding)::DOUBLE AS embedding FROM embeddings WHERE vec_id < 20"),
+    "mv_expand_embeddings": ("t.embeddings | mv-expand embedding | project vec_id, embedding=toreal(embedding)", "SELECT vec_id, unnest(embedding)::DOUBLE AS embedding FROM embeddings"),
     "array_index": ("t.embeddings | project vec_id, x=toreal(embedding[1]), none=embedding[5000]", "SELECT vec_id, embedding[2]::DOUBLE AS x, NULL::FLOAT AS none FROM embeddings"),
     "props_path": ("t.events | where props.k > 50 | summarize n=count(), s=sum(props.k) by event_type", "SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::DOUBLE) AS s FROM events WHERE json_extract(props, '$.k')::DOUBLE > 50 GROUP BY 1"),
     "props_group": ("t.events | summarize n=count(), d=dcount(event_type) by k=props.k | project k=tolong(k), n, d", "SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n, count(DISTINCT event_type) AS d FROM events GROUP BY 1"),
