@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import re
 import sys
 import tempfile
 import uuid
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word rules: space and the ASCII controls from tab to carriage return.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
-#: Arrow batches: few enough rows that very long texts do not swell a batch.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Arrow batches: few enough rows and bytes that the buffers of the JVM and of a worker, which keep their largest size, stay small.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -31,9 +32,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset, as in tests, a temporary one of this machine."""
+    """A fresh folder under spark.checkpoint.dir; where that is unset a temporary one, if all of Spark runs in this one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="weftlog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/weftlog/{uuid.uuid4().hex}"
@@ -44,7 +47,17 @@ def save(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFra
     spark = df.sparkSession
     path = path or scratch(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Deletes saved tables that nothing will read again."""
+    for df in saved:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,11 +65,15 @@ def two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def release() -> None:
-    """At the start of a task that needs room: drops what the worker's earlier tasks keep, and gives free memory back."""
-    if tokens := sys.modules.get(f"{__package__}.tokens"):
+def release(keep_words: bool = False) -> None:
+    """At the start of a task: drops what the worker's earlier tasks keep, and gives free memory back.
+
+    Arrow takes its buffers from the C library from then on, whose free memory can be given back.
+    """
+    if (tokens := sys.modules.get(f"{__package__}.tokens")) and not keep_words:
         tokens.forget()
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # another C library

@@ -66,6 +66,7 @@ class Packer:
 
 def _pack(file: str, end_id: int, size: int, most_open: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release(keep_words=True)
         t, packer, end = tokenizer(file), None, np.array([end_id], "<u4").tobytes()
         held: dict[int, list[tuple]] = {}
 

@@ -51,7 +51,7 @@ def by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that are measured at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
@@ -110,6 +110,7 @@ JUDGED = "doc_id long, " + ", ".join(f"{c} long" for c in LONGS) + ", base_faile
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.release()
     for batch in batches:
         m = measure(batch.column(1))
         most = np.max([m[f"chars_{n}"] for n in COVERAGE], axis=0) / np.maximum(m["word_chars"], 1)

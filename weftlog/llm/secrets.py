@@ -130,6 +130,7 @@ SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long,
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.release()
     for batch in batches:
         found = find(batch.column(1))
         rows = [found.get(i, []) for i in range(batch.num_rows)]
@@ -153,6 +154,7 @@ REDACTED = "[REDACTED]"
 
 def _redact(at: int, chars: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             column = batch.column(at)
             if found := find(column):

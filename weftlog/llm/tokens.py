@@ -1,8 +1,9 @@
 """Fast exact tokenization with the `tokenizers` library: each distinct word is encoded once per worker.
 
 The vocabulary file in use lower-cases, composes (NFC) and then cuts at white space and between letters, digits and symbols
-before any merge, so a text's ids are those of its pieces one after another. Pieces are kept in a bounded table of a worker
-(MEMO entries, or as many as asked for; emptied when full, which costs time and never changes ids).
+before any merge, so a text's ids are those of its pieces one after another. Pieces are kept in a table of a worker, bounded by
+bytes (MEMO, or as many as asked for; emptied when full, which costs time and never changes ids). A file whose tokenizer does
+not work that way is found out by PROBE, and its texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ import pyarrow as pa
 
 from . import common
 
-MEMO = 600_000
+MEMO = 96 << 20
+#: Bytes of an entry of the table beside its piece and its ids: two objects, and its place in the dictionary.
+ENTRY = 150
+#: Texts by which a file shows whether it cuts and lower-cases as said above.
+PROBE = ("Plain words, and more. Then UPPER case\nand a new line", "x1 22 333 4,5 a.b (c) don't it's #tag $9 50% a_b a-b", "Éa\u0301ß Ünï İΣς 日本 한글 🙂 \u200d  two  blanks ", "tab\there\r\nand ... !? <|x|> ~~")
 #: Letters that are composed already and whose lower case is one letter, then ASCII symbols: two pieces of the tokenizer.
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#*$%&()\-]*)").fullmatch
 
@@ -61,8 +66,21 @@ class WordTokenizer:
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[str, bytes] = {}
-        self.most = most
-        (self.mark,) = self.bare.encode(MARK, add_special_tokens=False).ids
+        self.most, self.size, self.by_word = most, 0, True
+        marks = self.bare.encode(MARK, add_special_tokens=False).ids
+        self.mark = marks[0] if marks else -1
+        try:
+            self.by_word = len(marks) == 1 and self.ids(list(PROBE)) == self.whole(list(PROBE))
+        except ValueError:  # a mark that merges with its neighbours parts no words
+            self.by_word = False
+
+    def whole(self, texts: list[str | None]) -> list[bytes]:
+        """The library's own ids, text by text."""
+        return [packed(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+    def keep(self, word: str, ids: bytes) -> None:
+        self.memo[word] = ids
+        self.size += ENTRY + len(word) + len(ids)
 
     def learn(self, words: list[str]) -> None:
         """Pieces as they stand in texts."""
@@ -74,7 +92,7 @@ class WordTokenizer:
                 rest.append(w)
         self.learn_cut([w for w, _ in plain], [x for _, x in plain])
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[w] = packed(e.ids)
+            self.keep(w, packed(e.ids))
 
     def learn_cut(self, words: list[str], spelled: list[str]) -> None:
         """Words of letters and marks, in lower case with blanks between the two."""
@@ -85,11 +103,13 @@ class WordTokenizer:
             raw, at = ids.tobytes(), 0
             ends.append(len(raw))
             for w, end in zip(words[128 * k : 128 * k + 128], ends, strict=True):
-                self.memo[w] = raw[at:end]
+                self.keep(w, raw[at:end])
                 at = end + 4
 
     def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_word:
+            return [x for i in range(0, len(column), 256) for x in self.whole(column.slice(i, 256).to_pylist())]
         out = []
         for i in range(0, len(column), 256):
             part = column.slice(i, 256)
@@ -99,8 +119,9 @@ class WordTokenizer:
             other = set().union(*(p for p, h in zip(pieces, flags, strict=True) if h))
             new = easy.difference(self.memo)
             more = other.difference(self.memo, easy)
-            if len(self.memo) + len(new) + len(more) > self.most:
+            if self.size > self.most:
                 self.memo.clear()
+                self.size = 0
                 new, more = easy, other - easy
             if new:
                 words = list(new)
@@ -115,7 +136,7 @@ _made: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(file: str, most: int = MEMO) -> WordTokenizer:
-    """One for each file and worker process; its table, of `most` words, outlives a task."""
+    """One for each file and worker process; its table, of about `most` bytes, outlives a task."""
     if file not in _made:
         _made[file] = WordTokenizer(file, most)
     _made[file].most = most
