@@ -193,6 +193,35 @@ def test_numbers_of_links(spark, rows, n, num, block, monkeypatch):
     assert jaccard.similar_links(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (1, 80)])
+def test_lists_that_are_long_in_one_batch(spark, n, num):
+    """Groups of copies, long and short, that are beyond COMBINE in a batch; some chain up, some have one member in another batch."""
+    r = random.Random(9)
+    long, short = [f"v{i}" for i in range(150)], [f"s{i}" for i in range(22)]
+    rows = []
+    for i in range(260):
+        w = list(long if i % 2 else short)
+        for k in r.sample(range(len(w)), r.randint(1, 9 if i % 2 else 1)):
+            w[k] = f"n{r.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"u{k}" for k in range(i, i + 120))) for i in range(90)]
+    assert len(rows) > 4 * jaccard.COMBINE
+    for parts in (1, 3):
+        got = collections.Counter(tuple(x) for x in jaccard.similar_groups(table(spark, rows, parts), n, num, 100).collect())
+        assert got == brute_groups(rows, n, num, 100)
+
+
+def test_lists_are_reduced_in_their_batch():
+    rule = jaccard.Rule(90, 100)
+    k = 1000
+    x = {"element": np.full(k, 7, np.uint64), "id": np.arange(k), "tie": np.arange(k), "n": np.full(k, 100, np.uint32), "size": np.zeros(k, np.uint32), "pos": np.zeros(k, np.uint32)}
+    go, made = jaccard.combined(x, rule, 10)
+    assert len(go["id"]) == 1 and go["n"][0] & jaccard.STANDS and [len(v["id" if kind == jaccard.MEMBERS else "a_id"]) for kind, v in made] == [k - 1, k]
+    light = x | {"size": np.full(k, 95, np.uint32), "pos": (np.arange(k) % 2).astype(np.uint32)}  # two subsets whose 64 bits are equal
+    go, made = jaccard.combined(light, rule, 200)
+    assert go["id"].tolist() == [0, 1] and len(made[0][1]["a_id"]) == k - 2
+
+
 def test_boundary_follows_cost():
     rule = jaccard.Rule(90, 100)
     assert jaccard.boundary_of([(8, 1000)], rule) > 8

@@ -6,7 +6,8 @@ inverted lists with the first elements of a common order (frequent ones last) th
 scanned for pairs, which are verified on whole texts. The boundary is where the two ways cost the same over all sizes.
 
 No list is turned into all its pairs. A long list first links its members to a pivot of like size; only members that the
-verified links leave in different components are compared with each other, and then all of them are.
+verified links leave in different components are compared with each other, and then all of them are. Lists that are long
+in one batch already are reduced to their pivots there, so that no list, however many sets it has, comes to one task whole.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +38,10 @@ SHORT = 4
 VERIFY, MOST_LIGHT = 1.0, 40
 #: Postings that go to one bucket, about; pivots of more partners than this are dealt to several tasks.
 BUCKET, SPOKES = 500_000, 2_000
-#: Bytes of text that are hashed at once.
-AT_ONCE = 2 << 20
+#: Members of one list in one batch from which on only their pivots go to the list's bucket; and the bit of n that marks those.
+COMBINE, STANDS = 64, np.uint32(1 << 31)
+#: Bytes of text that are hashed at once, of a batch whose elements are counted, and of sets whose entries are dealt out at once.
+AT_ONCE, COUNT_BYTES, POST_BYTES = 1 << 20, 8 << 20, 4 << 20
 #: The logarithm of the most bits of a filter of ids: 32 MB.
 BLOOM = 28
 
@@ -95,7 +100,7 @@ def _frequent(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
-        for batch in common.rebatch(batches, common.BATCH_BYTES // 2):
+        for batch in common.rebatch(batches, COUNT_BYTES):
             sets = shingle_sets(batch.column(1), n)
             s = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]))
             at = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
@@ -108,15 +113,23 @@ def _frequent(n: int):
     return run
 
 
-def subset_keys(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and sizes of the subsets of s that lack as many elements as a partner may lack, or fewer."""
-    each = common.mix(s + common.C2)
-    total, keys, sizes = each.sum(dtype=np.uint64), [], []
+@cache
+def choices(n: int, k: int) -> np.ndarray:
+    """All ways to leave k of n elements out, one a row; n is at most MOST_LIGHT."""
+    return np.array(list(combinations(range(n), k)), np.int64).reshape(math.comb(n, k), k)
+
+
+def subset_keys(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and sizes of the subsets of s that lack as many elements as a partner may lack, or fewer; and 32 further bits of hash."""
+    each, other = common.mix(s + common.C2), common.mix(s ^ common.C1)
+    total, rest, keys, sizes, checks = each.sum(dtype=np.uint64), other.sum(dtype=np.uint64), [], [], []
     for k in range(rule.missing(len(s)) + 1):
-        gone = np.array([each[list(c)].sum(dtype=np.uint64) for c in combinations(range(len(s)), k)], np.uint64)
+        chosen = choices(len(s), k)
+        gone = each[chosen].sum(1, dtype=np.uint64)
         keys.append(common.mix((total - gone) ^ np.uint64((len(s) - k) * int(common.C3) & (1 << 64) - 1)))
         sizes.append(np.full(len(gone), len(s) - k, np.uint32))
-    return np.concatenate(keys), np.concatenate(sizes)
+        checks.append((common.mix(rest - other[chosen].sum(1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(keys), np.concatenate(sizes), np.concatenate(checks)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -151,7 +164,7 @@ def differing(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-SETS = "id long, n long, key binary, tie long, entries binary, sizes binary, sketch binary, brief array<bigint>"
+SETS = "id long, n long, key binary, tie long, entries binary, sizes binary, checks binary, sketch binary, brief array<bigint>"
 
 
 def _sets(n: int, rule: Rule, boundary: int, frequent):
@@ -162,14 +175,15 @@ def _sets(n: int, rule: Rule, boundary: int, frequent):
         known, rank = frequent.value
         near = rule.least(boundary)
         for batch in batches:
-            sets, keys, entries, sizes = shingle_sets(batch.column(1), n), [], [], []
+            sets, keys, entries, sizes, checks = shingle_sets(batch.column(1), n), [], [], [], []
             for s in sets:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                e, c = [], []
+                e, c, check = [], [], b""
                 if 0 < len(s) < boundary:
-                    k, size = subset_keys(s, rule)
+                    k, size, more = subset_keys(s, rule)
                     e.append(k)
                     c.append(size)
+                    check = more.tobytes()
                 if len(s) >= max(1, near):
                     take, head = rule.missing(len(s)) + 1, s
                     if len(known):
@@ -182,7 +196,8 @@ def _sets(n: int, rule: Rule, boundary: int, frequent):
                     c.append(np.zeros(min(take, len(head)), np.uint32))
                 entries.append(np.concatenate([*e, np.zeros(0, np.uint64)]).tobytes())
                 sizes.append(np.concatenate([*c, np.zeros(0, np.uint32)]).tobytes())
-            yield common.table(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), key=pa.array(keys, pa.binary()), tie=np.array([_tie(k) for k in keys], np.int64), entries=pa.array(entries, pa.binary()), sizes=pa.array(sizes, pa.binary()), sketch=pa.array([sketch(s) for s in sets], pa.binary()), brief=pa.array([brief(s) for s in sets], pa.list_(pa.int64())))
+                checks.append(check)
+            yield common.table(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), key=pa.array(keys, pa.binary()), tie=np.array([_tie(k) for k in keys], np.int64), entries=pa.array(entries, pa.binary()), sizes=pa.array(sizes, pa.binary()), checks=pa.array(checks, pa.binary()), sketch=pa.array([sketch(s) for s in sets], pa.binary()), brief=pa.array([brief(s) for s in sets], pa.list_(pa.int64())))
 
     return run
 
@@ -203,37 +218,107 @@ def boundary_of(sizes: list[tuple[int, int]], rule: Rule) -> int:
 
 
 POSTED = "bucket int, kind int, payload binary"
-#: Kinds of rows: postings, pairs to verify, members of long lists, links.
-POST, PAIRS, MEMBERS, LINKS = 0, 1, 2, 3
+#: Kinds of rows: postings, pairs to verify (of light sets too), members of long lists.
+POST, PAIRS, MEMBERS = 0, 1, 2
 FIELDS = ("element", "id", "tie", "n", "size", "pos")
-
-
-def _grouped(x: dict[str, np.ndarray], by: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Sorted by element, then by the columns given; and where each list begins (and the end)."""
-    order = np.lexsort(tuple(x[k] for k in reversed(("element", "size", *by))))
-    x = {k: v[order] for k, v in x.items()}
-    e, s = x["element"], x["size"]
-    new = np.concatenate([np.ones(min(1, len(e)), bool), (e[1:] != e[:-1]) | (s[1:] != s[:-1])])
-    return x, np.append(np.flatnonzero(new), len(e))
-
-
-def _posts(n_buckets: int):
+MEMBER = ("element", "id", "tie", "n", "pos")
+
+
+class Lists:
+    """Postings in order of their lists (by element; for subsets also by size and by a second hash, their `pos`), then by size of set."""
+
+    def __init__(self, x: dict[str, np.ndarray]):
+        check = np.where(x["size"] > 0, x["pos"], 0)
+        n = x["n"] & ~STANDS
+        order = np.lexsort((x["tie"], x["id"], n, check, x["size"], x["element"]))
+        self.x = x = {k: v[order] for k, v in x.items()}
+        self.stands, self.n = x["n"] & STANDS > 0, n[order].astype(np.int64)
+        check, total = check[order], len(order)
+        new = np.ones(total, bool)
+        new[1:] = (x["element"][1:] != x["element"][:-1]) | (x["size"][1:] != x["size"][:-1]) | (check[1:] != check[:-1])
+        self.begins = np.append(np.flatnonzero(new), total)
+        self.count = np.diff(self.begins)
+        self.at, self.head, self.length = np.arange(total), np.repeat(self.begins[:-1], self.count), np.repeat(self.count, self.count)
+        self.subset, self.size, self.pos = x["size"] > 0, x["size"].astype(np.int64), x["pos"].astype(np.int64)
+
+    def stars(self, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+        """Light: the smallest member with all that the subset is large enough for; if two others link there, both link with it."""
+        to = np.flatnonzero(self.subset & rule.holds(self.size, self.n[self.head], self.n))
+        return self.head[to], to
+
+    def bands(self, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place the pivot of its band of like sizes in its list; and which places begin a band.
+
+        The pivot is the band's member of the smallest id, so that most lists of a group of copies choose the same.
+        """
+        band = band_of(self.n, rule)
+        new = np.ones(len(band), bool)
+        new[1:] = (self.head[1:] != self.head[:-1]) | (band[1:] != band[:-1])
+        first = np.maximum.accumulate(np.where(new, self.at, 0)) if len(new) else self.at
+        by_id = np.lexsort((self.x["tie"], self.x["id"], first))
+        return by_id[np.searchsorted(first[by_id], first)] if len(new) else self.at, new
+
+    def spokes(self, rule: Rule, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Heavy: of the long lists each member with its band's pivot, and each pivot with the next band's; and the pivots."""
+        pivot, new = self.bands(rule)
+        i, start = np.flatnonzero(long), np.flatnonzero(new)
+        s = start[1:][long[start[1:]] & (self.head[start[1:]] == self.head[start[:-1]])] if len(start) > 1 else start[:0]
+        return np.concatenate([pivot[i], pivot[s - 1]]), np.concatenate([i, pivot[s]]), np.unique(pivot[i])
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, ok: np.ndarray | None = None) -> np.ndarray:
+        return pairs_of(self.x, a if ok is None else a[ok], b if ok is None else b[ok])
+
+    def members(self, which: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: self.n[which].astype(np.uint32) if k == "n" else self.x[k][which] for k in MEMBER}
+
+
+def band_of(n: np.ndarray, rule: Rule) -> np.ndarray:
+    """Sets that link are in one band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / -math.log(rule.num / rule.den)).astype(np.int64) if rule.num < rule.den else n
+
+
+def combined(x: dict[str, np.ndarray], rule: Rule, boundary: int) -> tuple[dict[str, np.ndarray], list[tuple[int, dict[str, np.ndarray]]]]:
+    """The postings that go on to the buckets, and what the lists that are long in this batch give here already."""
+    kinds = np.unique(x["element"], return_inverse=True)[1]
+    often = np.bincount(kinds, minlength=1)[kinds] >= COMBINE
+    if not often.any():
+        return x, []
+    lists = Lists({k: v[often] for k, v in x.items()})
+    long = lists.length >= COMBINE
+    heavy = long & ~lists.subset
+    a, b = lists.stars(rule)
+    of_long = long[b]
+    c, d, pivots = lists.spokes(rule, heavy)
+    ok = rule.alike(lists.n[c], lists.n[d]) & (np.maximum(lists.n[c], lists.n[d]) >= boundary)
+    rest, stand = {k: v[~long] for k, v in lists.x.items()}, {k: v[pivots] for k, v in lists.x.items()}
+    stand["n"] = stand["n"] | STANDS
+    heads = np.unique(lists.head[long & lists.subset])
+    go = {k: np.concatenate([x[k][~often], rest[k], stand[k], lists.x[k][heads]]) for k in FIELDS}
+    return go, [(PAIRS, lists.pairs(np.concatenate([a[of_long], c[ok]]), np.concatenate([b[of_long], d[ok]]))), (MEMBERS, lists.members(heavy))]
+
+
+def _posts(n_buckets: int, rule: Rule, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
-        for batch in common.rebatch(batches, common.BATCH_BYTES // 4):
+        for batch in common.rebatch(batches, POST_BYTES):
             ids, ties, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
             entries, sizes = (batch.column(k).to_pylist() for k in (3, 4))
             row = np.repeat(np.arange(len(ids)), [len(e) // 8 for e in entries])
-            size = np.frombuffer(b"".join(sizes), np.uint32)
+            size, element = np.frombuffer(b"".join(sizes), np.uint32), np.frombuffer(b"".join(entries), np.uint64)
             heads = np.concatenate([np.zeros(1, np.int64), np.cumsum(size == 0)])  # of inverted lists so far
             begin = np.cumsum([0, *(len(e) // 8 for e in entries)])[:-1]
-            x = {"element": np.frombuffer(b"".join(entries), np.uint64), "id": ids[row], "tie": ties[row], "n": n[row].astype(np.uint32), "size": size, "pos": (heads[:-1] - heads[begin[row]]).astype(np.uint32)}
+            pos = np.where(size == 0, heads[:-1] - heads[begin[row]], 0).astype(np.uint32)
+            checks = batch.column(5).to_pylist()
+            pos[size > 0] = np.frombuffer(b"".join(checks), np.uint32)
+            x, made = combined({"element": element, "id": ids[row], "tie": ties[row], "n": n[row].astype(np.uint32), "size": size, "pos": pos}, rule, boundary)
             even = common.mix(x["element"] ^ common.C3)  # the first elements of sets have small hashes
             order = np.argsort(even, kind="stable")
             x = {k: v[order] for k, v in x.items()}
             cuts = np.searchsorted(bucket_of(even[order], n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cuts)).tolist()
-            yield common.table(bucket=pa.array(full, pa.int32()), kind=pa.array([POST] * len(full), pa.int32()), payload=pa.array([packed(**{k: v[cuts[b] : cuts[b + 1]] for k, v in x.items()}) for b in full], pa.binary()))
+            rows = [(b, POST, packed(**{k: v[cuts[b] : cuts[b + 1]] for k, v in x.items()})) for b in full]
+            rows += [(-1, kind, packed(**v)) for kind, v in made if len(next(iter(v.values())))]
+            yield common.table(bucket=pa.array([r[0] for r in rows], pa.int32()), kind=pa.array([r[1] for r in rows], pa.int32()), payload=pa.array([r[2] for r in rows], pa.binary()))
 
     return run
 
@@ -250,46 +335,30 @@ def pairs_of(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> dict[str
 
 
 def _lists(rule: Rule, boundary: int):
-    """What the lists of a bucket give: links of light sets, pairs to verify, and the members of lists that stay open."""
+    """What the lists of a bucket give: pairs to verify, and the members of lists that stay open."""
 
     def run(told: pa.Table) -> pa.Table:
         common.release()
         parts = [unpacked(p) for p in told["payload"].to_pylist()]
-        keep = again(np.concatenate([p["element"] for p in parts]))  # one that is alone in its list finds nothing
-        x, begins = _grouped({k: np.concatenate([p[k] for p in parts])[keep] for k in FIELDS}, ("n", "id", "tie"))
+        # one that is alone in its list finds nothing
+        keep = again(np.concatenate([p["element"] for p in parts]))
+        lists = Lists({k: np.concatenate([p[k] for p in parts])[keep] for k in FIELDS})
         del parts
-        count = np.diff(begins)
-        head = np.repeat(begins[:-1], count)
-        at, subset, n, pos = np.arange(len(head)), x["size"] > 0, x["n"].astype(np.int64), x["pos"].astype(np.int64)
-        # light: the smallest member links with all that the subset is large enough for; if two others link there, both do
-        size = x["size"].astype(np.int64)
-        links = pairs_of(x, head[m := subset & rule.holds(size, n[head], n)], at[m])
-        # heavy: short lists in full, long ones by pivots; sizes are in order, so bands of like sizes are runs
-        length, a, b = np.repeat(count, count), [], []
+        # a list of which some members were left in their batches is long, whatever has come
+        open_ = np.repeat(np.logical_or.reduceat(lists.stands, lists.begins[:-1]), lists.count) if len(lists.at) else lists.stands
+        long = ~lists.subset & ((lists.length > SHORT) | open_)
+        light, (a, b, _) = lists.stars(rule), lists.spokes(rule, long)
+        a, b, n, pos, at = [a], [b], lists.n, lists.pos, lists.at
         for k in range(1, SHORT):
-            i = np.flatnonzero(~subset & (length <= SHORT) & (at - head >= k))
+            i = np.flatnonzero(~lists.subset & ~long & (at - lists.head >= k))
             # a pair is found in the list of its first common element, behind which enough must be left
             i = i[np.minimum(n[i] - pos[i], n[i - k] - pos[i - k]) >= rule.both(n[i], n[i - k])]
             a.append(i - k)
             b.append(i)
-        long = ~subset & (length > SHORT)
-        band = np.floor(np.log(np.maximum(n, 1)) / -math.log(rule.num / rule.den)).astype(np.int64) if rule.num < rule.den else n
-        new = np.concatenate([np.ones(min(1, len(at)), bool), (head[1:] != head[:-1]) | (band[1:] != band[:-1])])
-        first = np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
-        # the pivot of a band: its member of the smallest id, so that most lists of a group of copies choose the same
-        start = np.flatnonzero(new)
-        by_id = np.lexsort((x["tie"], x["id"], first))
-        pivot = by_id[np.searchsorted(first[by_id], first)] if len(at) else at
-        i = np.flatnonzero(long)
-        a.append(pivot[i])
-        b.append(i)
-        s = start[1:][long[start[1:]] & (head[start[1:]] == head[start[:-1]])] if len(start) > 1 else np.zeros(0, np.int64)
-        a.append(pivot[s - 1])
-        b.append(pivot[s])
         a, b = np.concatenate(a), np.concatenate(b)
         ok = rule.alike(n[a], n[b]) & (np.maximum(n[a], n[b]) >= boundary)
-        pairs = pairs_of(x, a[ok], b[ok])
-        rows = [(LINKS, links, "a_id"), (PAIRS, pairs, "a_id"), (MEMBERS, {k: x[k][long] for k in ("element", "id", "tie", "n", "pos")}, "id")]
+        pairs = lists.pairs(np.concatenate([light[0], a[ok]]), np.concatenate([light[1], b[ok]]))
+        rows = [(PAIRS, pairs, "a_id"), (MEMBERS, lists.members(long & ~lists.stands), "id")]
         rows = [(kind, packed(**v)) for kind, v, k in rows if len(v[k])]
         return pa.table({"bucket": pa.array([0] * len(rows), pa.int32()), "kind": pa.array([k for k, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
 
@@ -350,8 +419,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a_id", "a_tie", "b_id", "b_tie", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_plausible(rule), PAIR)
 
 
-def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in a Bloom filter of the ids, which spares most others the way to the join that follows.
+def only(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The rows whose id is in a Bloom filter of the ids, which spares most others the way to the join that follows; and the filter, to be destroyed.
 
     The filter's size follows the number of ids up to BLOOM bits, whatever they are; beyond that it lets more rows through.
     """
@@ -365,7 +434,7 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     kept = spark.sparkContext.broadcast(table)
     found = rows.select("id", "text", F.pmod(h, F.lit(bits)).alias("p"), F.pmod(F.shiftrightunsigned(h, 31), F.lit(bits)).alias("q")).mapInArrow(_only(kept), "id long, text string")
-    return found
+    return found, kept
 
 
 def _only(kept):
@@ -381,7 +450,7 @@ def _only(kept):
 
 
 def verified(pairs: DataFrame, rows: DataFrame, n: int, rule: Rule) -> DataFrame:
-    """Those of the distinct pairs whose whole sets are similar. rows: id and text of all documents.
+    """Those of the distinct pairs whose whole sets are similar, as a saved table. rows: id and text of all documents.
 
     Pivots are the nodes with more partners, and each one's partners come to it, by SPOKES at a time.
     """
@@ -391,10 +460,13 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int, rule: Rule) -> DataFrame
     spokes = dealt.select("a_id", "a_tie", "salt", F.col("b_id").alias("id"), F.col("b_tie").alias("tie"))
     pivots = degree.select("a_id", "a_tie", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("degree") / SPOKES) - 1)).alias("salt"), F.col("a_id").alias("id"), F.col("a_tie").alias("tie"))
     wanted = spokes.unionByName(pivots)
-    texts = wanted.join(only(rows, wanted), "id").select("a_id", "a_tie", "salt", "id", "tie", "text")
+    found, bloom = only(rows, wanted)
+    texts = wanted.join(found, "id").select("a_id", "a_tie", "salt", "id", "tie", "text")
     first = F.when((F.col("a_id") == F.col("id")) & (F.col("a_tie") == F.col("tie")), 0).otherwise(1)
     ordered = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a_id", "a_tie", "salt").sortWithinPartitions("a_id", "a_tie", "salt", first)
-    return ordered.mapInArrow(_verify(n, rule), PAIR)
+    out = common.save(ordered.mapInArrow(_verify(n, rule), PAIR))
+    bloom.destroy()
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -406,12 +478,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest(node("a"), node("b")).alias("u"), F.least(node("a"), node("b")).alias("v")).filter("u != v").distinct()
     edges, before = common.save(edges), None
     while True:
+        old = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         edges = common.save(edges)
+        common.discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u.id").alias("id"), F.col("u.tie").alias("tie"), F.col("v.id").alias("c_id"), F.col("v.tie").alias("c_tie"))
@@ -423,17 +497,21 @@ def unsettled(members: DataFrame, nodes: DataFrame, parts: DataFrame, tested: Da
     m = members.join(parts, list(NODE), "left").select("element", *NODE, "n", "pos", F.when(F.col("c_id").isNull(), F.struct(F.col("id").alias("c_id"), F.col("tie").alias("c_tie"))).otherwise(F.struct("c_id", "c_tie")).alias("c"))
     counts = m.groupBy("element", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("element").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     m = m.join(counts.select("element", "main"), "element").join(nodes.select(*NODE, "brief"), list(NODE))
-    m = common.save(m.select("element", *NODE, "n", "pos", "c", "main", *(F.col("brief")[k].alias(f"s{k}") for k in range(BRIEF))))
-    few = m.filter("c != main").select("element", F.col("id").alias("x_id"), F.col("tie").alias("x_tie"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("c").alias("x_c"), *(F.col(f"s{k}").alias(f"x_s{k}") for k in range(BRIEF)))
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-math.log(rule.num / rule.den))) if rule.num < rule.den else F.col("n")
+    m = common.save(m.select("element", *NODE, "n", "pos", "c", "main", band.cast("long").alias("band"), *(F.col("brief")[k].alias(f"s{k}") for k in range(BRIEF))))
+    # partners have like sizes, so they are in one band or in neighbouring ones
+    few = m.filter("c != main").select("element", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), F.col("id").alias("x_id"), F.col("tie").alias("x_tie"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("c").alias("x_c"), *(F.col(f"s{k}").alias(f"x_s{k}") for k in range(BRIEF)))
     size = (F.lit(rule.num) * F.col("n") <= F.lit(rule.den) * F.col("x_n")) & (F.lit(rule.num) * F.col("x_n") <= F.lit(rule.den) * F.col("n")) & (F.greatest("n", "x_n") >= boundary)
     left = F.lit(rule.num + rule.den) * F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) >= F.lit(rule.num) * (F.col("n") + F.col("x_n"))
     # what the sketches differ in, two sets differ in at least; what a link lets differ is (den - num) / (den + num) of their sizes
     apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"x_s{k}"))) for k in range(1, BRIEF)), F.bit_count(F.col("s0").bitwiseXOR(F.col("x_s0"))))
     near = F.lit(rule.num + rule.den) * apart <= F.lit(rule.den - rule.num) * (F.col("n") + F.col("x_n"))
-    found = few.join(m, "element").filter((F.col("c") != F.col("x_c")) & size & left & near)
+    found = few.join(m, ["element", "band"]).filter((F.col("c") != F.col("x_c")) & size & left & near)
     x, y = F.struct(F.col("x_id").alias("id"), F.col("x_tie").alias("tie")), F.struct("id", "tie")
     pairs = found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).select(F.col("a.id").alias("a_id"), F.col("a.tie").alias("a_tie"), F.col("b.id").alias("b_id"), F.col("b.tie").alias("b_tie")).distinct()
-    return pairs.join(tested, pairs.columns, "left_anti")
+    out = common.save(pairs.join(tested, pairs.columns, "left_anti"))
+    common.discard(m)
+    return out
 
 
 def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -441,30 +519,40 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     spark, rule = docs.sparkSession, Rule(num, den)
     common.tune(spark)
     rows = common.two(docs, id_col, text_col)
-    told = rows.mapInArrow(_frequent(n), "element long, size long, n long").groupBy("element", "size").agg(F.sum("n").alias("n"))
-    told = common.save(told.filter(F.col("size").isNotNull() | (F.col("n") >= OFTEN_IN_ALL)))
+    counts = rows.mapInArrow(_frequent(n), "element long, size long, n long").groupBy("element", "size").agg(F.sum("n").alias("n"))
+    told = common.save(counts.filter(F.col("size").isNotNull() | (F.col("n") >= OFTEN_IN_ALL)))
     boundary = boundary_of([(r.size, r.n) for r in told.filter("size is not null").select(F.col("size").cast("int").alias("size"), "n").collect()], rule)
     often = told.filter("element is not null").orderBy(F.desc("n"), "element").limit(FREQUENT).select("element").toPandas()  # FREQUENT rows at most
     known = often["element"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known, kind="stable")
     frequent = spark.sparkContext.broadcast((known[order], len(known) - order))  # the most frequent rank highest
     sets = common.save(rows.mapInArrow(_sets(n, rule, boundary, frequent), SETS))
-    nodes = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("tie").alias("tie"), F.max("n").alias("n"), F.min_by(F.struct("entries", "sizes", "sketch", "brief"), "id").alias("e"))
+    frequent.destroy()
+    nodes = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("tie").alias("tie"), F.max("n").alias("n"), F.min_by(F.struct("entries", "sizes", "checks", "sketch", "brief"), "id").alias("e"))
     nodes = common.save(nodes.select("key", "id", "tie", "n", "e.*"))
     total = sets.agg(F.sum(F.octet_length("entries") / 8)).first()[0] or 0
+    slim = common.save(sets.select("id", "n", "key"))
+    common.discard(told, sets)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
-    posts = nodes.select("id", "tie", "n", "entries", "sizes").mapInArrow(_posts(buckets), POSTED)
-    made = common.save(posts.groupBy("bucket").applyInArrow(_lists(rule, boundary), POSTED))
+    posts = common.save(nodes.select("id", "tie", "n", "entries", "sizes", "checks").mapInArrow(_posts(buckets, rule, boundary), POSTED), codec="none")
+    lists = common.save(posts.filter(F.col("kind") == POST).groupBy("bucket").applyInArrow(_lists(rule, boundary), POSTED), codec="none")
+    made = posts.filter(F.col("kind") != POST).unionByName(lists)
     of = lambda kind, names, schema: made.filter(F.col("kind") == kind).select("payload").mapInArrow(_unpack(names), schema)
-    four = ("a_id", "a_tie", "b_id", "b_tie")
-    pairs = common.save(of(PAIRS, four, PAIR).distinct())
-    links = common.save(verified(common.save(plausible(pairs, nodes, rule)), rows, n, rule).unionByName(of(LINKS, four, PAIR)).distinct())
+    pairs = common.save(of(PAIRS, ("a_id", "a_tie", "b_id", "b_tie"), PAIR).distinct())
+    near = common.save(plausible(pairs, nodes, rule))
+    links = verified(near, rows, n, rule)
     parts = components(links)
-    members = of(MEMBERS, ("element", *NODE, "n", "pos"), "element long, id long, tie long, n long, pos long")
-    more = common.save(verified(common.save(plausible(unsettled(members, nodes, parts, pairs, rule, boundary), nodes, rule)), rows, n, rule))
+    left = unsettled(of(MEMBERS, MEMBER, "element long, id long, tie long, n long, pos long"), nodes, parts, pairs, rule, boundary)
+    common.discard(posts, lists, pairs, near)
+    near = common.save(plausible(left, nodes, rule))
+    nodes_slim = common.save(nodes.select("key", *NODE, "n"))
+    common.discard(left, nodes)
+    more = verified(near, rows, n, rule)
+    common.discard(near)
     if not more.isEmpty():
         parts = components(links.unionByName(more))
-    return rows, sets, nodes, parts
+    common.discard(links, more)
+    return rows, slim, nodes_slim, parts
 
 
 def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -564,11 +652,14 @@ def similar_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     # a block meets each block, itself among them, once
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("p"), F.greatest(o, "block").alias("q")))).alias("pair")
     members = common.save(members.select("c_id", "c_tie", *NODE, "block", "rows", "blocks"))
-    texts = members.join(only(rows, members), "id").select("c_id", "c_tie", *NODE, "block", "rows", "text", pair)
+    few, bloom = only(rows, members)
+    texts = members.join(few, "id").select("c_id", "c_tie", *NODE, "block", "rows", "text", pair)
     group = ["c_id", "c_tie", "p", "q"]
     dealt = texts.select("c_id", "c_tie", "pair.p", "pair.q", *NODE, "block", "rows", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
     counts = dealt.mapInArrow(_count_links(n, rule), "id long, tie long, k long").groupBy(*NODE).agg(F.sum("k").alias("k"))
     nodes = common.save(nodes.join(counts, list(NODE), "left").select("key", *NODE, (F.col("rows") + F.coalesce("k", F.lit(0))).alias("k")))
+    bloom.destroy()
+    common.discard(members)
     found = _grouped_rows(sets, nodes, parts, "k")
     # the row itself is one of those that have its set
     return found.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), F.coalesce("k", F.lit(0))).otherwise(F.coalesce(F.col("k") - 1, F.lit(0))).cast("long").alias("n_links"))
