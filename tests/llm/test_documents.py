@@ -452,6 +452,41 @@ def test_longest_match(spark):
     assert {x.doc_id: (x.longest_match, x.n_hit) for x in decontaminate.overlaps(docs, bench).collect()} == {1: (15, 15), 2: (0, 0)}
 
 
+def test_many_short_items(spark):
+    """Equal windows of very many items, in a long text, are looked up once."""
+    import time
+
+    words = [f"w{i % 40}" for i in range(30_000)]
+    items = [(i, f"w{i % 3}") for i in range(10_000)] + [(10_000 + i, "w7 w8 w9") for i in range(200)]
+    rows = [(1, " ".join(words)), (2, "w1 x"), (3, "none"), *((10 + i, "w0 " * 50) for i in range(200))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    got = decontaminate.overlaps(table(spark, rows, 1), bench).collect()
+    assert time.time() - began < 60
+    assert collections.Counter(tuple(x)[:6] for x in got) == brute_overlaps(rows, items)
+
+
+def test_words_that_agree(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(r.choices("abcd", k=r.randint(1, 25)))) for i in range(40)]
+    rows = [(i, " ".join(r.choices("abcdx", weights=[9, 9, 9, 9, 1], k=r.randint(0, 80)))) for i in range(60)]
+
+    def longest(text):
+        w, most = SPLIT.findall(text), 0
+        for _, t in items:
+            v = SPLIT.findall(t)
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    k = 0
+                    while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                        k += 1
+                    most = max(most, k if k >= min(10, len(v)) else 0)
+        return most
+
+    got = {x.doc_id: x.longest_match for x in decontaminate.overlaps(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: longest(t) for i, t in rows}
+
+
 def test_word_hashes_are_of_content():
     import pyarrow as pa
 
