@@ -24,8 +24,9 @@ ROWS = [
 ]
 
 
-def test_round_trip(spark, tmp_path):
-    warc.write_archives(pages(spark, ROWS), str(tmp_path / "w"))
+@pytest.mark.parametrize("most", [warc.MOST_BROADCAST, 0])
+def test_round_trip(spark, tmp_path, most):
+    warc.write_archives(pages(spark, ROWS), str(tmp_path / "w"), most_broadcast=most)
     captures = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).collect()
     assert len(captures) == len(ROWS)
     largest = {}
@@ -63,6 +64,32 @@ def test_damaged_payload():
         warc.described(head, b"HTTP/1.1 200 OK\r\n\r\nx")
 
 
+@pytest.mark.parametrize("most", [warc.MOST_BROADCAST, 0])
+def test_one_payload_in_most_pages(spark, tmp_path, most):
+    rows = [(i, f"http://h{i}.example.com/", "<p>not found</p>" if i % 10 else f"<p>{i}</p>") for i in range(3000)]
+    warc.write_archives(pages(spark, rows), str(tmp_path / "w"), most_broadcast=most)
+    captures = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).select("response.kind").groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in captures} == {"response": 301, "revisit": 2699}
+
+
+def test_long_pages_make_short_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4 << 20)
+    rows = [(i, f"http://h{i}.example.com/", f"{i} " + chr(97 + i % 26) * (1 << 20)) for i in range(24)]
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 6
+    got = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).select("response.payload_bytes").collect()
+    assert sorted(r.payload_bytes for r in got) == sorted(len(h) for _, _, h in rows)
+
+
+def test_repeated_rows(spark, tmp_path):
+    """Rows with one id and one payload are all responses; what revisits them names that id."""
+    (tmp_path / "pages.parquet").mkdir()
+    rows = [(1, "http://a.example.com/", "same"), (7, "http://b.example.com/", "same"), (7, "http://b.example.com/", "same"), (None, None, "same"), (2, None, None), (3, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.mode("overwrite").parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc.op9_warc(spark, str(tmp_path)).collect())
+    assert got == [(0, "revisit", 7, 4), (1, "revisit", 7, 4), (2, "revisit", 3, 0), (3, "response", None, 0), (7, "response", None, 4), (7, "response", None, 4)]
+
+
 def test_empty_pages(spark, tmp_path):
     warc.write_archives(pages(spark, []), str(tmp_path / "w"))
     assert warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).count() == 0

@@ -1,7 +1,8 @@
 """WARC archives: pages to request, response or revisit, and metadata records, and back to one nested row a capture.
 
 Archives are written by Spark's text writer with the records' own end as line separator, so they reach any file system that
-Spark writes to; they are read as binary files.
+Spark writes to; they are read as binary files, of which a worker unpacks one record at a time. Which pages share a payload is
+found on digests alone; pages themselves are never brought together by payload.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +24,14 @@ from . import common
 VERSION, END, PROFILE = "WARC/1.1", "\r\n\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Captures have no date of their own; all records carry this one unless another is given.
 DATE = "1970-01-01T00:00:00Z"
-RECORDS_A_FILE = 30_000
+#: Records and unpacked bytes (by the mean of all pages) of a file at most.
+RECORDS_A_FILE, FILE_BYTES = 30_000, 64 << 20
+#: Bytes of a page's three records beside its payload, about.
+HEADS = 1500
+#: Payloads with copies of which the digests are broadcast (100 bytes each at most); beyond that pages are joined by their own ids.
+MOST_BROADCAST = 200_000
+#: Parts into which the revisits of one response are dealt.
+SALTS = 16
 
 RECORD = "record_id string, concurrent_to string, kind string, uri string, refers_to string, payload_bytes long, payload_digest string, fields map<string,string>"
 
@@ -37,7 +47,21 @@ def _record(kind: Column, rid: Column, headers: list[Column], content: str, bloc
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)  # concat_ws leaves null headers out
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> None:
+def revisiting(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """rows with `first`: the largest page id of their payload where several rows share it, else null."""
+    groups = common.save(keys.groupBy("sha").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first"))
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), "sha", "left")
+    # page ids with digests are all different, but for rows that repeat; rows to be responses find nothing
+    own = F.coalesce("page", F.lit(NO_PAGE)).alias("own")
+    marks = keys.join(groups, "sha").select("sha", own, "first").filter("own <> first").distinct()
+    return rows.withColumn("own", own).join(marks, ["own", "sha"], "left").drop("own")
+
+
+NO_PAGE = -(1 << 63)
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, most_broadcast: int = MOST_BROADCAST) -> None:
     """Three records a row: request, response (or revisit) and metadata; the latter two name the first as concurrent.
 
     Of rows with equal payloads the one with the largest id is the response and the others revisit it; rows that share that id
@@ -46,9 +70,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"[\x00-\x20\x7f]", "%20").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    groups = rows.groupBy("sha").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
-    rows = rows.join(groups, "sha", "left")
-    again = F.coalesce(F.col("first") != F.coalesce(F.col("page"), F.lit(-(1 << 63))), F.lit(False))
+    keys = common.save(rows.select("page", "sha", F.octet_length("html").alias("size")))
+    total, n = keys.agg(F.sum("size"), F.count(F.lit(1))).first()
+    per_file = max(3, min(RECORDS_A_FILE, 3 * FILE_BYTES * n // (total + HEADS * n))) if n else RECORDS_A_FILE
+    rows = revisiting(rows, keys, most_broadcast)
+    again = F.coalesce(F.col("first") != F.coalesce(F.col("page"), F.lit(NO_PAGE)), F.lit(False))
     # base32 of the digest: 32 groups of 5 bits
     alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
     bits = F.concat(*(F.lpad(F.conv(F.substring(F.col("sha"), 1 + 5 * k, 5), 16, 2), 20, "0") for k in range(8)))
@@ -66,26 +92,34 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         _record(F.when(F.col("again"), "revisit").otherwise("response"), own, answer, "application/http;msgtype=response", F.concat(head, F.when(F.col("again"), "").otherwise(F.col("html")))),
         _record(F.lit("metadata"), F.col("meta"), [with_request, uri, on], "application/warc-fields", F.coalesce(F.concat(F.lit("page-id: "), F.col("page").cast("string"), F.lit("\r\n")), F.lit(""))),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def fields_of(lines: str) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.split("\r\n")) if k}
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    at = 0
-    while at < len(raw):
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0 or not raw.startswith(b"WARC/", at):
+def parse(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record, one at a time."""
+    f, at = io.BytesIO(source) if isinstance(source, bytes) else source, 0
+    while line := f.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        head = fields_of(raw[at:end].decode().partition("\r\n")[2])
-        begin, size = end + 4, int(head["content-length"])
-        if begin + size + 4 > len(raw) or raw[begin + size : begin + size + 4] != b"\r\n\r\n":
+        lines, size = [], len(line)
+        while (line := f.readline()) not in (b"\r\n", b""):
+            lines.append(line)
+            size += len(line)
+        head = fields_of(b"".join(lines).decode().removesuffix("\r\n"))
+        length = int(head["content-length"])
+        block = f.read(length)
+        if len(block) < length or f.read(4) != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} is cut short")
-        yield head, raw[begin : begin + size]
-        at = begin + size + 4
+        yield head, block
+        at += size + 2 + length + 4
+
+
+def unpacked(raw: bytes) -> BinaryIO:
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)), 1 << 20) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
 
 
 def described(head: dict[str, str], block: bytes) -> dict:
@@ -109,13 +143,20 @@ def described(head: dict[str, str], block: bytes) -> dict:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
+
+    def table(part: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "fields" else r[n] for r in part], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    common.release()
     for batch in batches:
         for content in batch.column(0):
-            raw = content.as_buffer().to_pybytes()
-            rows = [described(*x) for x in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)]
-            for i in range(0, len(rows), 10_000):
-                part = rows[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "fields" else r[n] for r in part], k) for n, k in zip(names, kinds, strict=True)], names=names)
+            rows = []
+            for record in parse(unpacked(content.as_buffer().to_pybytes())):
+                rows.append(described(*record))
+                if len(rows) == 5000:
+                    yield table(rows)
+                    rows = []
+            yield table(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -144,5 +185,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     captures = common.save(assemble(read_archives(spark, path)))
     rows = captures.select(F.get("metadata", F.lit(0))["fields"]["page-id"].cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.record_id").alias("own"), F.col("response.refers_to").alias("to"))
-    firsts = rows.filter("record_type = 'response'").groupBy(F.col("own").alias("to")).agg(F.max("page_id").alias("refers_to"))
-    return rows.drop("own").join(firsts, "to", "left").drop("to")
+    again = rows.filter("to is not null")
+    wanted = again.select("to").distinct()
+    firsts = rows.filter("record_type = 'response'").select(F.col("own").alias("to"), "page_id").join(wanted, "to", "left_semi").groupBy("to").agg(F.max("page_id").alias("refers_to"))
+    # very many pages may revisit one response: each of them looks for it in one of SALTS places
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = again.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(firsts, ["to", "salt"], "left")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    return rows.filter("to is null").select(*names, F.lit(None).cast("long").alias("refers_to")).unionByName(again.select(*names, "refers_to"))
