@@ -85,3 +85,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   greatest(c5, c7, c10) / total AS repeat_coverage
 FROM b
 """
+
+#: Host, path and rule of every page; the verdicts of pages without a rule are the trees', beyond SQL.
+OP10_PLACES = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), rules(domain, prefix) AS (VALUES ('com', '/en/'), ('example.com', '/en/7'), ('net', '/de/'), ('example.net', '/de/8'), ('org', '/es/'))
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, max_by(domain || prefix, length(domain || prefix)) FILTER (WHERE domain IS NOT NULL) AS rule
+FROM u LEFT JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY page_id
+"""
