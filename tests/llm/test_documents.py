@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -271,10 +272,41 @@ def test_suffixes_by_place():
     texts[:, 10:70] = rng.integers(97, 123, 60)
     args = texts, np.sort(rng.integers(0, 200, 300)), rng.integers(0, 20, 300), rng.integers(70, 85, 300), 50
     assert all((x == y).all() for x, y in zip(repeats.earlier(*args), repeats.earlier_by_place(*args), strict=True))
+    texts, docs, left, right, least = args
+    low, high = repeats.earlier(*args)
+    for i in range(0, 300, 7):  # a byte is covered if a string over it stands in a row of a smaller document
+        own = [(c, c + least) for c in range(left[i], right[i] - least + 1)]
+        found = [x for x in own if any(docs[j] < docs[i] and texts[i, x[0] : x[1]].tobytes() in texts[j, left[j] : right[j]].tobytes() for j in range(300))]
+        assert (low[i], high[i]) == ((found[0][0], found[-1][1]) if found else (low[i], low[i]))
     values = rng.integers(0, 50, 500)
     assert repeats.nearest_smaller(values).tolist() == [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(500)]
 
 
+def test_longest_previous_factors():
+    """Against all pairs of suffixes: strings of few letters, with zeros among them, in rows that are cut at their ends."""
+    rng = np.random.default_rng(5)
+    for least in (3, 5):
+        texts = rng.choice(np.array([0, 97, 98], np.uint8), (40, 24), p=[0.1, 0.6, 0.3])
+        docs, ends = rng.integers(0, 25, 40), rng.integers(10, 25, 40)
+        row, col = np.array([(r, c) for r in range(40) for c in range(24) if c + least <= ends[r]]).T
+        text = [texts[r, c : ends[r]].tobytes() for r, c in zip(row, col, strict=True)]
+        rank = np.unique([t[:least].hex() for t in text], return_inverse=True)[1]
+        at, length = repeats.previous_factors(texts, row, col, ends[row], docs[row], rank, least)
+        got = dict(zip(at.tolist(), length.tolist(), strict=True))
+        for i, t in enumerate(text):
+            same = [sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(t, u, strict=False))) for j, u in enumerate(text) if docs[row[j]] < docs[row[i]]]
+            most = max(same, default=0)
+            if 0 not in t:  # a zero orders like an end, beyond the bytes that decide
+                assert got.get(i, 0) == (most if most >= least else 0)
+            assert (i in got) == (most >= least) and got.get(i, 0) <= most
+
+
+def test_equal_hashes_are_not_equal_texts():
+    texts = np.array([[1, 2], [1, 2], [3, 4], [1, 2], [3, 4]], np.uint8)
+    new = repeats.parted(np.array([True, False, False, False, False]), np.arange(5), lambda rows: texts[rows])
+    assert new.tolist() == [True, False, True, True, True]
+
+
 def test_quality(spark, rows):
     got = collections.Counter(tuple(r)[:7] for r in quality.judge(table(spark, rows)).collect())
     expected = collections.Counter()

@@ -2,8 +2,9 @@
 
 A string of `least` bytes that two documents share has the same anchors (16-byte grams of least hash in a run of windows) in
 both, so only the surroundings of anchors that several documents have can repeat. Those surroundings meet in buckets by
-anchor, equal ones of a block joined beforehand; there a suffix order (to the depth that matters) and the previous and next
-smaller documents in it tell which strings an earlier document has. What is removed goes back to the blocks of documents.
+anchor, equal ones (by hash, then by bytes) of a block joined beforehand; there the suffixes are put in order, and the previous
+and next ones of smaller documents in that order give the longest-previous-factor array: how long a string from each place on
+an earlier document has. What is removed goes back to the blocks of documents.
 """
 
 from __future__ import annotations
@@ -95,27 +96,56 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     return out.reshape(keys.shape)
 
 
-def repeated(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The places whose suffix (equal keys: equal to the depth that matters) a smaller document has, by the suffix order's previous and next smaller documents."""
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    back = nearest_smaller(doc)
-    ahead = len(doc) - 1 - nearest_smaller(doc[::-1])[::-1]
-    found = ((back >= 0) & (key[np.maximum(back, 0)] == key)) | ((ahead < len(doc)) & (key[np.minimum(ahead, len(doc) - 1)] == key))
-    return order[found]
+def previous_factors(texts: np.ndarray, row: np.ndarray, col: np.ndarray, right: np.ndarray, doc: np.ndarray, rank: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest-previous-factor array of suffixes: those that have a factor of at least `least` bytes, and its length.
+
+    Suffix i is texts[row[i]] from col[i] up to right[i], of document doc[i], with `least` bytes at least; rank orders those
+    first bytes. In the order of the whole suffixes the nearest ones of smaller documents, on either side, agree with it the
+    furthest; how far is counted in bytes. Suffixes whose first bytes no other has need no order.
+    """
+    at = np.flatnonzero(np.bincount(rank, minlength=1)[rank] > 1)
+    row, col, right, doc, rank = row[at], col[at], right[at], doc[at], rank[at]
+    tails, size = [], texts.shape[1]
+    flat = texts.ravel()
+    for k in range(least, size, 8):
+        word = np.zeros(len(row), np.uint64)
+        for i in range(8):  # the bytes behind, zeros beyond the suffix's end
+            place = col + k + i
+            word = (word << np.uint64(8)) | np.where(place < right, flat[np.minimum(row * size + place, len(flat) - 1)], 0).astype(np.uint64)
+        if word.any():
+            tails.append(word)
+    order = np.lexsort((doc, *tails[::-1], rank))
+    row, col, right, doc, rank = row[order], col[order], right[order], doc[order], rank[order]
+    total = len(doc)
+    back, ahead = nearest_smaller(doc), total - 1 - nearest_smaller(doc[::-1])[::-1]
+    longest = np.zeros(total, np.int64)
+    for other, there in ((back, back >= 0), (ahead, ahead < total)):
+        i = np.flatnonzero(there)
+        i = i[rank[other[i]] == rank[i]]
+        j, length = other[i], np.full(len(i), least, np.int64)
+        most = np.minimum(right[i] - col[i], right[j] - col[j])
+        live = np.flatnonzero(length < most)
+        while len(live):
+            k = length[live]
+            live = live[texts[row[i[live]], col[i[live]] + k] == texts[row[j[live]], col[j[live]] + k]]
+            length[live] += 1
+            live = live[length[live] < most[live]]
+        longest[i] = np.maximum(longest[i], length)
+    found = np.flatnonzero(longest)
+    return at[order[found]], longest[found]
 
 
 def earlier_by_place(texts: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for very many surroundings of one anchor, in little room: equal strings of one anchor start at one place of their rows."""
+    """As earlier, for very many surroundings of one anchor, in little room: equal strings of one anchor start at one place of their rows."""
     n, width = texts.shape
     low, high = np.full(n, width, np.int64), np.zeros(n, np.int64)
     for start in range(width - least + 1):
         rows = np.flatnonzero((left <= start) & (start + least <= right))
         if len(rows) > 1:
             part = np.ascontiguousarray(texts[rows, start : start + least]).view(f"V{least}").ravel()
-            found = rows[repeated(np.unique(part, return_inverse=True)[1], docs[rows])]
-            low[found] = np.minimum(low[found], start)
-            high[found] = start + least
+            found, length = previous_factors(texts, rows, np.full(len(rows), start), right[rows], docs[rows], np.unique(part, return_inverse=True)[1], least)
+            low[rows[found]] = np.minimum(low[rows[found]], start)
+            high[rows[found]] = np.maximum(high[rows[found]], start + length)
     return np.minimum(low, high), high
 
 
@@ -141,8 +171,7 @@ def earlier(texts: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.nda
     """The stretch (from, to) of each surrounding that strings of smaller documents cover; from = to where there is none.
 
     texts: a row of bytes for each surrounding, of which those from left to right (exclusive) belong to the document. The
-    suffixes of all rows are ordered to a depth of `least` by doubling prefixes of 8 bytes; among suffixes in that order, the
-    previous and the next one of a smaller document are the earlier occurrences with the longest common prefix.
+    suffixes of all rows are ranked to a depth of `least` by doubling prefixes of 8 bytes; previous_factors does the rest.
     """
     n, width = texts.shape
     if n > CHUNK:
@@ -160,10 +189,11 @@ def earlier(texts: np.ndarray, docs: np.ndarray, left: np.ndarray, right: np.nda
     place = np.arange(starts)
     valid = ((place >= left[:, None]) & (place + least <= right[:, None])).ravel()
     at = np.flatnonzero(valid)
-    row, col = np.divmod(at[repeated(rank.ravel()[at], np.repeat(docs, starts)[at])], starts)
+    row, col = np.divmod(at, starts)
+    found, length = previous_factors(texts, row, col, right[row], docs[row], rank.ravel()[at], least)
     low, high = np.full(n, width, np.int64), np.zeros(n, np.int64)
-    np.minimum.at(low, row, col)
-    np.maximum.at(high, row, col + least)
+    np.minimum.at(low, row[found], col[found])
+    np.maximum.at(high, row[found], col[found] + length)
     return np.minimum(low, high), high  # all strings of a surrounding hold its anchor, so they overlap
 
 
@@ -302,6 +332,20 @@ def keys_of(texts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Surroundings whose bytes are compared at once.
+SOME = 1 << 14
+
+
+def parted(new: np.ndarray, order: np.ndarray, texts_of) -> np.ndarray:
+    """new marks the first of each run of equal hashes in the order; what differs in bytes from the one before begins a run too."""
+    same = np.flatnonzero(~new)
+    for i in range(0, len(same), SOME):
+        part = same[i : i + SOME]
+        differ = (texts_of(order[part]) != texts_of(order[part - 1])).any(1)
+        new[part[differ]] = True
+    return new
+
+
 def _surround(least: int, n: int, short: int):
     """The distinct surroundings of a block's shared anchors, each with its first document, and where they stand."""
     before = least - GRAM
@@ -331,6 +375,7 @@ def _surround(least: int, n: int, short: int):
             order = np.lexsort((key, hashes))
             h, k = hashes[order], key[order]
             new = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
+            new = parted(new, order, lambda rows: texts[rows])
             at = np.flatnonzero(new)
             group = np.cumsum(new) - 1
             first = np.minimum.reduceat(ids[rows[order]], at)
@@ -366,24 +411,31 @@ def _compare(least: int):
         h, k, halves = np.concatenate(h), np.concatenate(k), [np.concatenate(x) for x in zip(*halves, strict=True)]
         order = np.lexsort((first, k, h))
         new = np.concatenate([np.ones(1, bool), (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])])
+        at = np.cumsum([0, *(len(p["first"]) for p in parts)])
+
+        def texts_of(rows: np.ndarray) -> np.ndarray:
+            part, out = np.searchsorted(at, rows, "right") - 1, np.empty((len(rows), width + 2), np.uint8)
+            by = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[by], np.arange(len(parts) + 1))
+            for p in np.flatnonzero(np.diff(ends)).tolist():
+                mine = by[ends[p] : ends[p + 1]]
+                out[mine] = parts[p]["texts"][rows[mine] - at[p]]
+            return out
+
+        new = parted(new, order, texts_of)
         one = order[new]  # the first document of each surrounding, all blocks together
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(new) - 1
         low, high = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
         anchor = h[one]
         todo = np.flatnonzero(reduce(np.logical_or, (again(x[one]) & (x[one] > 0) for x in halves)))
-        at = np.cumsum([0, *(len(p["first"]) for p in parts)])
         i = 0
         while i < len(todo):
             j = min(len(todo), i + CHUNK)
             while j < len(todo) and anchor[todo[j]] == anchor[todo[j - 1]]:
                 j = min(len(todo), int(np.searchsorted(anchor[todo], anchor[todo[j - 1]], "right")))
             rows = one[todo[i:j]]
-            part = np.searchsorted(at, rows, "right") - 1
-            texts = np.empty((len(rows), width + 2), np.uint8)
-            for p in np.unique(part).tolist():
-                mine = part == p
-                texts[mine] = parts[p]["texts"][rows[mine] - at[p]]
+            texts = texts_of(rows)
             left, right = texts[:, width].astype(np.int64), texts[:, width + 1].astype(np.int64)
             low[todo[i:j]], high[todo[i:j]] = earlier(texts[:, :width], first[rows], before - left, before + right, least)
             i = j
