@@ -75,10 +75,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     per_file = max(3, min(RECORDS_A_FILE, 3 * FILE_BYTES * n // (total + HEADS * n))) if n else RECORDS_A_FILE
     rows = revisiting(rows, keys, most_broadcast)
     again = F.coalesce(F.col("first") != F.coalesce(F.col("page"), F.lit(NO_PAGE)), F.lit(False))
-    # base32 of the digest: 32 groups of 5 bits
+    # base32 of the digest: eight times 20 bits, each four letters
     alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    bits = F.concat(*(F.lpad(F.conv(F.substring(F.col("sha"), 1 + 5 * k, 5), 16, 2), 20, "0") for k in range(8)))
-    digest = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(alphabet, (F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1), F.lit(1))))
+    fives = [F.shiftright(F.conv(F.substring(F.col("sha"), 1 + 5 * k, 5), 16, 10).cast("int"), bits).bitwiseAND(31) for k in range(8) for bits in (15, 10, 5, 0)]
+    digest = F.concat(*(F.substring(alphabet, x + 1, F.lit(1)) for x in fives))
     rows = rows.withColumns({"again": again, "digest": digest, "request": F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")), "response": _urn(F.lit("response"), F.col("page"), F.col("sha")), "meta": F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))})
     uri, on = F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.lit(f"WARC-Date: {date}")
     with_request = F.concat(F.lit("WARC-Concurrent-To: "), F.col("request"))
