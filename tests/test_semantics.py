@@ -53,7 +53,10 @@ CASES = [
     ('m.a | where t has "err.io"', [{"t": "x/ERR.IO,y"}, {"t": "xerr.io"}, {"t": "err.io_1"}, {"t": "errXio"}], [{"t": "x/ERR.IO,y"}, {"t": "err.io_1"}]),
     ('m.a | where t has_cs "Err"', [{"t": "an Err"}, {"t": "an err"}, {"t": "Errs"}], [{"t": "an Err"}]),
     ("m.a | where t has s", [{"t": "a b", "s": "B"}, {"t": "ab", "s": "b"}, {"t": "x", "s": ""}], [{"t": "a b", "s": "B"}, {"t": "x", "s": ""}]),
-    (r'm.a | project g=extract("(\\d+)-(\\d+)", 2, t)', [{"t": "10-20"}, {"t": "no"}], [{"g": "20"}, {}]),
+    (r'm.a | project g=extract("(\\d+)-(\\d+)", 2, t)', [{"t": "10-20"}, {"t": "no"}, {}], [{"g": "20"}, {"g": None}, {}]),
+    (r'm.a | project g=extract("a(b)?(c*)", 1, t), h=extract("a(b)?(c*)", 2, t), i=extract("a", 3, t)', [{"t": "ab"}, {"t": "xacc"}], [{"g": "b", "h": "", "i": None}, {"g": None, "h": "cc", "i": None}]),
+    ('m.a | where exists(extract("z", 0, t)) | count', [{"t": "a"}, {"t": 5}, {}], [{"Count": 1}]),
+    ("m.a | where x == True or x == FALSE", [{"x": True}, {"x": False}, {"x": 1}], [{"x": True}, {"x": False}]),
     # conversions
     ("m.a | project s=tostring(x), l=tolong(x), r=toreal(x), b=tobool(x)", [{"x": 1}, {"x": "5.7"}, {"x": None}, {"x": True}, {"x": 2.0}], [{"s": "1", "l": 1, "r": 1.0, "b": True}, {"s": "5.7", "r": 5.7, "b": True}, {"s": "null", "l": 0, "r": 0.0, "b": False}, {"s": "true", "l": 1, "r": 1.0, "b": True}, {"s": "2", "l": 2, "r": 2.0, "b": True}]),
     ("m.a | project b=bin(x, 2)", [{"x": 5}, {"x": -1}, {"x": "s"}], [{"b": 4.0}, {"b": -2.0}, {}]),
@@ -73,13 +76,16 @@ CASES = [
     ("m.a | mv-expand n.m", [{"n": {"m": [1, 2], "k": 0}}], [{"n": {"m": 1, "k": 0}}, {"n": {"m": 2, "k": 0}}]),
     # aggregation
     ("m.a | summarize count(), sum(x), avg(x), dcount(x), countif(x > 1)", [{"x": 1}, {"x": 3}, {"x": "s"}, {"x": None}, {}, {"x": 1.0}], [{"count_": 6, "sum_x": 5.0, "avg_x": 5 / 3, "dcount_x": 4, "countif_": 2}]),
+    ("m.a | summarize lo=min(nothing), hi=max(x), n=count() | where lo < 5 and exists(hi)", [{"y": 1}], [{"lo": None, "hi": None, "n": 1}]),
+    ("m.a | summarize lo=min(x) by k", [{"k": 1}, {"k": 2, "x": 5}], [{"k": 1, "lo": None}, {"k": 2, "lo": 5}]),
+    ("m.a | project x=tolong(x) | summarize hi=max(x) | extend none=exists(hi) | project hi, none", [{"y": 1}], [{"hi": None, "none": True}]),
     ("m.a | summarize lo=min(x), hi=max(x)", [{"x": 4}, {"x": "s"}, {"x": True}, {}], [{"lo": True, "hi": "s"}]),
     ("m.a | summarize n=count() by k", [{"k": 1}, {"k": 1.0}, {"k": "1"}, {"k": None}, {}], [{"k": 1, "n": 2}, {"k": "1", "n": 1}]),
     ("m.a | summarize n=count() by nothing", [{"k": 1}], []),
     ("m.a | distinct k, j", [{"k": 1, "j": 2}, {"k": 1, "j": 2}, {"k": 1}], [{"k": 1, "j": 2}]),
     ("m.a | where k > 100 | summarize n=count(), s=sum(k)", [{"k": 1}], [{"n": 0, "s": 0.0}]),
-    ('m.a | where k > 100 | summarize by r="yes"', [{"k": 1}], []),
-    ('m.a | summarize by r="yes"', [{"k": 1}, {"k": 2}], [{"r": "yes"}]),
+    ('m.a | where temp > 900 | summarize by unit="kelvin", scale=3', [{"temp": 12}], []),
+    ('m.a | summarize by unit="kelvin", scale=3', [{"temp": 12}, {"temp": 40}, {"fan": 1}], [{"unit": "kelvin", "scale": 3}]),
     ("m.a | count | count", [{"k": 1}], [{"Count": 1}]),
     # order
     ("m.a | top 2 by x desc", [{"x": 1}, {"x": "s"}, {"x": None}, {"x": 7}], [{"x": "s"}, {"x": 7}]),
@@ -101,7 +107,7 @@ TWO = [
     ("m.a | join kind=outer (m.b) on id", [{"id": 1, "v": "l"}, {"id": 2, "v": "k"}, {"v": "-"}], [{"id": 1, "v": "r"}, {"id": 3, "v": "s"}], [{"id": 1, "v": "l", "v1": "r"}, {"id": 2, "v": "k"}, {"id": 3, "v": "s"}]),
     ("m.a | join kind=left (m.b) on id", [{"id": 1, "v": "l"}, {"id": 2, "v": "k"}, {"v": "-"}], [{"id": 1, "v": "r", "w": 5}], [{"id": 1, "v": "l", "w": 5}, {"id": 2, "v": "k"}]),
     ("m.a | join kind=right (m.b) on id", [{"id": 1, "v": "l", "w": 5}], [{"id": 1, "v": "r"}, {"id": 2, "v": "k"}], [{"id": 1, "v": "r", "w": 5}, {"id": 2, "v": "k"}]),
-    ("m.a | join (m.b) on id", [{"id": 7, "x": 1, "x1": 2}], [{"id": 7, "x": 3, "x1": 4}], [{"id": 7, "x": 1, "x1": 2, "x2": 3, "x11": 4}]),
+    ("m.a | join (m.b) on host", [{"host": "n1", "load": 4, "load1": 9, "load2": 6}], [{"host": "n1", "load": 5, "up": 1}], [{"host": "n1", "load": 4, "load1": 9, "load2": 6, "load3": 5, "up": 1}]),
     ("m.a | join (m.b) on $left.k == $right.j", [{"k": 1, "z": 1}], [{"j": 1.0, "z": 2}], [{"k": 1, "j": 1.0, "z": 1}]),
     ("m.a | join kind=outer (m.b | where false) on id", [{"id": 1}], [{"id": 1}], [{"id": 1}]),
     ("m.a | join (m.b | where false) on id", [{"id": 1}], [{"id": 1}], []),

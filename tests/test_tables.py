@@ -1,5 +1,6 @@
 """Every query of the pipe language against its SQL on DuckDB; progressive results; the service."""
 
+import io
 import json
 import threading
 import urllib.error
@@ -9,9 +10,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from weftlog import client
 from weftlog.engine import tables
 from weftlog.queries import ORACLE, QUERIES
 from weftlog.server import serve
+from weftlog.sources.catalog import FileConnector
 from weftlog.streaming.partial import partial_rows
 
 SF = "/root/testdata/sf0.001"
@@ -45,7 +48,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_all_embeddings_are_expanded(spark, duck):
-    df = QUERIES["mv_expand_embeddings"](spark, SF)
+    df = QUERIES["mv_expand_array"](spark, SF)
     n = duck.execute("SELECT sum(len(embedding)), count(DISTINCT vec_id) FROM embeddings").fetchone()
     assert (df.count(), df.select("vec_id").distinct().count()) == n
 
@@ -56,6 +59,67 @@ def test_filters_reach_the_scan(spark):
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey" in plan
 
 
+@pytest.mark.parametrize(
+    ("text", "pushed"),
+    [
+        ('t.orders | where o_orderstatus == "F" or o_totalprice > 200000', ["Or(EqualTo(o_orderstatus,F)", "GreaterThan(o_totalprice,200000.0)"]),
+        ('t.orders | where not(o_orderstatus == "F" and o_orderkey < 500)', ["Or(Not(EqualTo(o_orderstatus,F))", "GreaterThanOrEqual(o_orderkey,500)"]),
+        ('t.orders | where o_orderpriority in ("1-URGENT", "2-HIGH", 5)', ["In(o_orderpriority, [1-URGENT,2-HIGH])"]),
+        ("t.lineitem | where l_quantity !between (2 .. 49)", ["Or(LessThan(l_quantity,2.0)", "GreaterThan(l_quantity,49.0)"]),
+    ],
+)
+def test_other_filters_reach_the_scan(spark, text, pushed):
+    plan = tables(spark, SF).explain(text)
+    filters = next(x for x in plan.split("\n") if "PushedFilters" in x)
+    assert all(p in filters for p in pushed), filters
+
+
+def test_left_join_by_a_unique_key_is_not_reduced_first(spark):
+    plan = tables(spark, SF).explain("t.orders | join kind=left (t.orders | summarize n=count() by o_custkey) on o_custkey")
+    assert "min_by" not in plan and "min_by" in tables(spark, SF).explain("t.orders | join kind=left (t.customer) on $left.o_custkey == $right.c_custkey")
+
+
+def test_explain_starts_no_job(spark, tmp_path):
+    """With files that tell their schema, and json lines whose fields are those that the query mentions."""
+    (tmp_path / "logs.json").write_text('{"a": 1, "b": {"c": 2}}\n{"a": "s", "d": null}\n')
+    engine = tables(spark, SF)
+    engine.register("j", FileConnector(str(tmp_path), "json"))
+    spark.sparkContext.setJobGroup("explained", "")
+    try:
+        engine.explain("j.logs | where b.c == 2 | union (j.logs | tee m.kept) | write m.kept")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("explained")) == []
+    assert list(engine.rows("j.logs | summarize n=count(), s=sum(b.c)")) == [{"n": 2, "s": 2.0}] and list(engine.rows("j.logs | count")) == [{"Count": 2}]
+    assert sorted(engine.rows("j.logs"), key=str) == [{"a": "s", "d": None}, {"a": 1, "b": {"c": 2}}]
+
+
+def test_client(spark):
+    server = serve(tables(spark, SF), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, out = f"http://127.0.0.1:{server.server_address[1]}", io.StringIO()
+    try:
+        client.main(["--url", url], ["t.region \\\n", "| count\n", "\n", "t.region | where\n"], out)
+        client.main(["--url", url, "--partial", "t.nation | union (t.nation) | count"], None, out)
+    finally:
+        server.shutdown()
+    lines = out.getvalue().splitlines()
+    assert lines[:2] == ['{"Count": 5}', "1 row"] and lines[2].startswith("error 1:") and lines[3] == "0 rows" and lines[-2:] == ['{"Count": 50}', "1 row"] and '[0] {"Count": 25}' in lines
+
+
+def test_connectors_go_when_unused(spark):
+    engine = tables(spark, SF)
+    rows = engine.rows("t.customer")
+    next(rows)
+    gone = threading.Thread(target=engine.remove, args=("t",))
+    gone.start()
+    gone.join(0.3)
+    assert gone.is_alive() and "t" not in engine.connectors
+    rows.close()
+    gone.join(20)
+    assert not gone.is_alive()
+
+
 def test_partial_rows(spark):
     engine = tables(spark, SF)
     text = "t.nation | project k=n_regionkey | union (t.nation | project k=n_regionkey) | summarize n=count() by k"

@@ -58,11 +58,18 @@ def literal(x: Lit) -> Val:
     return Val(F.lit(x.value).cast(kind), kind, x)
 
 
+#: Metadata of a typed column whose NULL is a null, not a missing value: the least of no values.
+NULLS = "weftlog.null"
+#: Comparisons and the like in one filter beyond which it is said in one piece.
+MANY = 24
+
+
 class Expressions:
     """Compiles expressions over the columns of one DataFrame."""
 
     def __init__(self, df: DataFrame):
         self.df, self.schema = df, {f.name: f.dataType for f in df.schema.fields}
+        self.nulls = {f.name for f in df.schema.fields if f.metadata.get(NULLS)}
 
     def value(self, e) -> Val:
         if isinstance(e, Lit):
@@ -81,6 +88,8 @@ class Expressions:
         if name not in self.schema:
             return MISSING
         col, t = bare(name), self.schema[name]
+        if name in self.nulls:
+            col, t = F.coalesce(V.to_variant(col, t), V.null()), VARIANT
         steps = [*ix, *(s for n, i in rest for s in (n, *i))]
         while steps:
             if isinstance(t, T.VariantType):
@@ -97,13 +106,31 @@ class Expressions:
                 return MISSING
         return Val(col, t)
 
-    def truth(self, e, top: bool = False) -> Column:
-        """The expression's truth; at the top of a filter, where false and missing are alike, `and` is left to Catalyst."""
-        if top and isinstance(e, Call) and e.name == "and":
-            return self.truth(e.args[0], True) & self.truth(e.args[1], True)
+    def truth(self, e) -> Column:
+        """The expression's truth: true, false, or missing."""
         v = self.value(e)
         return F.lit(None).cast("boolean") if v.col is None else V.truthy(v.col, v.type)
 
+    def filter(self, e) -> Column:
+        """True for the rows that a filter keeps. Where false and missing are alike, each comparison stands bare, as scans take it."""
+        return self.holds(e) if leaves(e) <= MANY else self.truth(e)
+
+    def holds(self, e) -> Column:
+        """True where the expression is; what is missing on the left of `and` and `or` makes the whole missing."""
+        if isinstance(e, Call) and e.name == "and":
+            return self.holds(e.args[0]) & self.holds(e.args[1])
+        if isinstance(e, Call) and e.name == "or":
+            return self.holds(e.args[0]) | (self.fails(e.args[0]) & self.holds(e.args[1]))
+        return self.fails(e.args[0]) if isinstance(e, Call) and e.name == "not" else self.truth(e)
+
+    def fails(self, e) -> Column:
+        """True where the expression is false, not where it is missing."""
+        if isinstance(e, Call) and e.name == "and":
+            return self.fails(e.args[0]) | (self.holds(e.args[0]) & self.fails(e.args[1]))
+        if isinstance(e, Call) and e.name == "or":
+            return self.fails(e.args[0]) & self.fails(e.args[1])
+        return self.holds(e.args[0]) if isinstance(e, Call) and e.name == "not" else ~self.truth(e)
+
     # logic
     def _and(self, e: Call) -> Val:
         a, b = map(self.truth, e.args)
@@ -136,6 +163,10 @@ class Expressions:
         if a.col is None or b.col is None:
             return F.lit(None).cast("boolean")
         x, y = a.col, b.col
+        if a.family == V.DYNAMIC and b.literal and b.family in (V.BOOL, V.NUMBER, V.STRING) and not isinstance(b.type, T.DecimalType):
+            return self.against(op, x, b)
+        if b.family == V.DYNAMIC and a.literal and a.family in (V.BOOL, V.NUMBER, V.STRING) and not isinstance(a.type, T.DecimalType):
+            return self.against({"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op), y, a)
         if V.DYNAMIC in (a.family, b.family) or (a.family == b.family and a.family in (V.ARRAY, V.OBJECT)):
             x, y = V.key(x, a.type), V.key(y, b.type)
         elif a.family != b.family:
@@ -146,7 +177,22 @@ class Expressions:
         elif a.family == V.NUMBER and a.literal is None and b.literal and isinstance(a.type, T.IntegralType) and b.literal.kind == "int":
             low = {T.IntegerType: 31, T.ShortType: 15, T.ByteType: 7}.get(type(a.type), 63)
             y = F.lit(b.literal.value).cast(a.type) if -(1 << low) <= b.literal.value < 1 << low else y
-        return {"==": x.__eq__, "!=": x.__ne__, "<": x.__lt__, "<=": x.__le__, ">": x.__gt__, ">=": x.__ge__}[op](y)
+        return compared(op, x, y)
+
+    def against(self, op: str, c: Column, lit: Val) -> Column:
+        """A dynamic value against a literal: by value within the literal's type, else by the order of types."""
+        below = [k for fam, kinds in V.KINDS.items() if fam < lit.family for k in kinds]
+        as_type = {V.BOOL: "boolean", V.NUMBER: "double", V.STRING: "string"}[lit.family]
+
+        def made(v: Column) -> Column:
+            kind = V.short_kind(v)
+            same = compared(op, V.as_(v, as_type), lit.col.cast(as_type))
+            if lit.literal.kind == "int":
+                same = F.when(kind == "BIG", compared(op, V.as_(v, "bigint"), lit.col)).otherwise(same)
+            other = F.when(kind.isin(*below), F.lit(op in ("<", "<=", "!="))).otherwise(F.lit(op in (">", ">=", "!=")))
+            return F.when(v.isNotNull(), F.when(kind.isin(*V.KINDS[lit.family]), same).otherwise(other))
+
+        return V.once(c, made)
 
     def _compare(self, e: Call) -> Val:
         return Val(self.compare(e.name, *map(self.value, e.args)), T.BooleanType())
@@ -156,6 +202,8 @@ class Expressions:
         if x.col is None:
             return Val(F.lit(None).cast("boolean"), T.BooleanType())
         rest = [r for r in rest if r.col is not None]
+        if x.family in (V.BOOL, V.NUMBER, V.TIMESTAMP, V.STRING):  # literals of other types equal nothing
+            rest = [r for r in rest if not r.literal or r.family == x.family]
         if rest and all(r.literal and r.family == x.family != V.DYNAMIC and r.family in (V.NUMBER, V.STRING) for r in rest):
             return Val(x.col.isin([r.literal.value for r in rest]), T.BooleanType())
         hits = [F.coalesce(self.compare("==", x, r), F.lit(False)) for r in rest]
@@ -287,15 +335,26 @@ class Expressions:
             groups = re.compile(regex.value).groups
         except re.error as x:
             raise ExpressionError(f"bad pattern: {x}") from None
-        if group.value > groups:
-            return Val(F.lit(None).cast("string"), T.StringType())
         x, pattern = V.text(v.col, v.type), "(?U)" + regex.value
-        return Val(F.when(x.rlike(pattern), F.nullif(F.regexp_extract(x, pattern, group.value), F.lit(""))), T.StringType())
+        if group.value > groups:
+            return Val(F.when(x.isNotNull(), V.null()), VARIANT)
+        found = F.regexp_extract(x, pattern, group.value)
+        # nothing found: an empty group can be matched again, one that takes no part cannot
+        empty = x.rlike(f"(?U)(?:{regex.value})" + (f"\\{group.value}" if group.value else ""))
+        return Val(F.when(x.isNotNull(), F.when((found != "") | empty, found.cast("variant")).otherwise(V.null())), VARIANT)
 
 
 NAMES = dict.fromkeys(("==", "!=", "<", "<=", ">", ">="), "compare") | dict.fromkeys(("+", "-", "*", "/"), "arithmetic") | dict.fromkeys(("contains", "startswith", "endswith", "has", "has_cs"), "text")
 
 
+def compared(op: str, x: Column, y: Column) -> Column:
+    return {"==": x.__eq__, "!=": x.__ne__, "<": x.__lt__, "<=": x.__le__, ">": x.__gt__, ">=": x.__ge__}[op](y)
+
+
+def leaves(e) -> int:
+    return sum(map(leaves, e.args)) if isinstance(e, Call) and e.name in ("and", "or", "not") else 1
+
+
 def quoted(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9_\s\x80-\U0010ffff])", r"\\\1", text)
 

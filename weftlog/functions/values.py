@@ -39,19 +39,25 @@ def missing() -> Column:
     return F.lit(None)
 
 
-#: What schema_of_variant begins with, by family.
-KINDS = {BOOL: ("BOOLEAN",), NUMBER: ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT"), TIMESTAMP: ("TIMESTAMP", "DATE"), STRING: ("STRING",), ARRAY: ("ARRAY",), OBJECT: ("OBJECT",)}
+#: The first three letters of what schema_of_variant says (BIGINT, DECIMAL(3,1), STRING ...), by family.
+KINDS = {NULL: ("VOI",), BOOL: ("BOO",), NUMBER: ("BIG", "DOU", "DEC", "FLO", "INT", "SMA", "TIN"), TIMESTAMP: ("TIM", "DAT"), STRING: ("STR",), ARRAY: ("ARR",), OBJECT: ("OBJ",)}
 
 
 def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def short_kind(v: Column) -> Column:
+    return F.substring(kind(v), 1, 3)
+
+
 def is_kind(v: Column, fam: int) -> Column:
-    out = F.lit(False)
-    for k in KINDS[fam]:
-        out = out | F.startswith(kind(v), F.lit(k))
-    return out
+    return F.coalesce(short_kind(v).isin(*KINDS[fam]), F.lit(False))
+
+
+def once(c: Column, make) -> Column:
+    """make(c), in which c is evaluated once a row, however often it stands there: filters do not share what stands twice."""
+    return F.get(F.transform(F.array(c), make), F.lit(0))
 
 
 def as_(v: Column, t: str) -> Column:
@@ -158,7 +164,7 @@ def number(c: Column, t: T.DataType) -> Column:
     if fam == NUMBER:
         return c.cast("double")
     if fam == DYNAMIC:
-        return F.when(is_kind(c, NUMBER), as_(c, "double"))
+        return once(c, lambda v: F.when(short_kind(v).isin(*KINDS[NUMBER]), as_(v, "double")))
     return F.lit(None).cast("double")
 
 
@@ -168,5 +174,5 @@ def text(c: Column, t: T.DataType) -> Column:
     if fam == STRING:
         return c
     if fam == DYNAMIC:
-        return F.when(is_kind(c, STRING), as_(c, "string"))
+        return once(c, lambda v: F.when(short_kind(v).isin(*KINDS[STRING]), as_(v, "string")))
     return F.lit(None).cast("string")

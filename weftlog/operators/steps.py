@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
-from ..functions.expressions import MISSING, VARIANT, Expressions, Val, bare, unify, wider
+from ..functions.expressions import MISSING, NULLS, VARIANT, ExpressionError, Expressions, Val, bare, unify, wider
 from ..plans.nodes import Agg, Call, Item, Path, SortKey
 
 
@@ -86,7 +86,7 @@ def laid_out(df: DataFrame, items: tuple[Item, ...]) -> dict[str, Val]:
 
 
 def where(df: DataFrame, expr) -> DataFrame:
-    return df.filter(Expressions(df).truth(expr, top=True))
+    return df.filter(Expressions(df).filter(expr))
 
 
 def project(df: DataFrame, items: tuple[Item, ...]) -> DataFrame:
@@ -219,6 +219,9 @@ def order_keys(df: DataFrame, keys: tuple[SortKey, ...]) -> list[Column]:
         if v.col is None:
             continue
         c = v.col
+        if len(k.path.parts) == 1 and not k.path.parts[0][1] and k.path.names[0] in x.nulls:  # nulls and what is missing sort alike
+            v = Val(bare(k.path.names[0]), x.schema[k.path.names[0]])
+            c = v.col
         if v.family in (V.DYNAMIC, V.OBJECT):
             key = V.key(c, v.type)
             c = F.when(key["rank"] > V.NULL, key)
@@ -248,13 +251,19 @@ def aggregate(x: Expressions, a: Agg) -> Column:
         n = F.lit(None).cast("double") if v.col is None else V.number(v.col, v.type)
         return F.coalesce(F.sum(n) if a.name == "sum" else F.avg(n), F.lit(0.0))
     if v.col is None:
-        return F.lit(0).cast("bigint") if a.name == "dcount" else F.max(V.null().cast("string")).cast("variant")
+        return F.lit(0).cast("bigint") if a.name == "dcount" else F.any_value(V.null())
     plain = v.family not in (V.DYNAMIC, V.OBJECT, V.ARRAY)
     if a.name == "dcount":
         return F.count_distinct(v.col if plain else V.key(v.col, v.type))
     if plain:
         return F.min(v.col) if a.name == "min" else F.max(v.col)
-    return (F.min_by if a.name == "min" else F.max_by)(v.col, V.key(v.col, v.type))
+    least = (F.min_by if a.name == "min" else F.max_by)(v.col, V.key(v.col, v.type))
+    return F.coalesce(V.to_variant(least, v.type), V.null())
+
+
+def aliased(name: str, c: Column, a: Agg) -> Column:
+    """The least and the greatest of no values are null."""
+    return c.alias(name, metadata={NULLS: True}) if a.name in ("min", "max") else c.alias(name)
 
 
 def summarize(df: DataFrame, aggs: tuple[Agg, ...], by: tuple[Item, ...]) -> DataFrame:
@@ -262,16 +271,16 @@ def summarize(df: DataFrame, aggs: tuple[Agg, ...], by: tuple[Item, ...]) -> Dat
     x = Expressions(df)
     names = [".".join(map(str, t)) if not by[i].target else t for i, t in enumerate(targets(by))]
     names = [n if isinstance(n, str) else ".".join(n) for n in names]
-    taken, made = set(names), {}
+    taken, made, of = set(names), {}, {}
     for a in aggs:
         path = "" if a.arg is None or a.name == "countif" else "_".join(a.arg.names)
         name = ".".join(a.target.names) if a.target else free(f"{a.name}_{path}", taken)
         taken.add(name)
-        made[name] = aggregate(x, a)
+        made[name], of[name] = aggregate(x, a), a
     if not by:
         if not made:
             return df.agg(F.count(F.lit(1)).alias("__n")).select()
-        return df.agg(*(c.alias(n) for n, c in made.items()))
+        return df.agg(*(aliased(n, c, of[n]) for n, c in made.items()))
     vals = [x.value(item.expr) for item in by]
     if any(v.col is None for v in vals):
         empty = [F.lit(None).cast("string").alias(n) for n in names]
@@ -297,10 +306,21 @@ def summarize(df: DataFrame, aggs: tuple[Agg, ...], by: tuple[Item, ...]) -> Dat
         seen[str(item.expr)] = f"__first{i}"
     kept = df.filter(reduce(Column.__and__, checks))
     grouped = kept.groupBy(*keys)
-    out = grouped.agg(*(c.alias(n) for n, c in made.items())) if made else kept.select(*keys).distinct()
+    out = grouped.agg(*(aliased(n, c, of[n]) if n in of else c.alias(n) for n, c in made.items())) if made else kept.select(*keys).distinct()
     return out.select(*(bare(a).alias(n) for a, n in finals), *(bare(n) for n in made if not n.startswith("__first")))
 
 
+def one_type(df: DataFrame, exprs: tuple) -> None:
+    """Raises where the values of a dynamic key are of several types, nulls aside. Reads the key column once; typed keys need no reading."""
+    x = Expressions(df)
+    for e in exprs:
+        v = x.value(e)
+        if v.family == V.DYNAMIC:
+            found = df.select(V.key(v.col, v.type)["rank"].alias("rank")).filter(F.col("rank") > V.NULL).distinct().collect()  # a row for each type
+            if len(found) > 1:
+                raise ExpressionError(f"values of different types in the key {e}")
+
+
 def count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("Count"))
 
@@ -328,15 +348,15 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return shaped(a).unionAll(shaped(b))
 
 
-def join(left: DataFrame, right: DataFrame, kind: str, on_left: Path, on_right: Path, partitions: int = 1) -> DataFrame:
+def join(left: DataFrame, right: DataFrame, kind: str, on_left: Path, on_right: Path, partitions: int = 1, unique: bool = False) -> DataFrame:
     """One equality. Rows without the key take no part, whatever the kind.
 
     inner, outer: names of the right side that the left side has get the first free number, or go where the left value is the
     key's. left: each left row once, with what the first matching right row has beside it (the right side is reduced to one row
-    a key); right: the same with the sides exchanged.
+    a key, unless its keys are known to be unique); right: the same with the sides exchanged.
     """
     if kind == "right":
-        return join(right, left, "left", on_right, on_left, partitions)
+        return join(right, left, "left", on_right, on_left, partitions, unique)
     lk, rk = Expressions(left).path(on_left), Expressions(right).path(on_right)
     if lk.col is None or rk.col is None:
         return _shape(left, right, kind, on_left, on_right, None)
@@ -346,9 +366,10 @@ def join(left: DataFrame, right: DataFrame, kind: str, on_left: Path, on_right:
     r2 = right.filter(rk.col.isNotNull()).select(*(bare(c).alias(f"r.{c}") for c in right.columns), b.alias("__rk"), F.lit(True).alias("__r"))
     if partitions > 1:
         l2, r2 = l2.repartition(partitions, "__lk"), r2.repartition(partitions, "__rk")
-    if kind == "left":
-        packed = F.struct(*(bare(f"r.{c}") for c in right.columns))
-        rank = F.to_json(packed)
+    if kind == "left" and not unique:
+        # rows have some order that does not depend on where they are read: by their hashes
+        hashed = [bare(f"r.{f.name}") if V.family(f.dataType) not in (V.DYNAMIC, V.OBJECT) else F.to_json(F.struct(bare(f"r.{f.name}"))) for f in right.schema.fields]
+        rank = F.xxhash64(*hashed) if hashed else None
         r2 = r2.groupBy("__rk").agg(*(F.min_by(bare(f"r.{c}"), F.when(bare(f"r.{c}").isNotNull(), rank)).alias(f"r.{c}") for c in right.columns), F.lit(True).alias("__r")) if right.columns else r2.distinct()
     how = {"inner": "inner", "outer": "full_outer", "left": "left"}[kind]
     joined = l2.join(r2, F.col("__lk") == F.col("__rk"), how)

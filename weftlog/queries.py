@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from pathlib import Path as FilePath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine, json_lines, tables
+from .sources.catalog import FileConnector, shared_folder
 
 # name: (query, SQL)
 PAIRS: dict[str, tuple[str, str]] = {
@@ -23,8 +29,8 @@ PAIRS: dict[str, tuple[str, str]] = {
     "filter_between": ("t.lineitem | where l_quantity between (10 .. 20) | project l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 20"),
     "filter_not_between": ("t.lineitem | where l_quantity !between (2 .. 49) | project l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 2 OR l_quantity > 49"),
     "filter_contains": ('t.part | where p_name contains "a" | project p_partkey, p_name', "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a')"),
-    "filter_startswith": ('t.part | where p_name startswith "p" | project p_partkey', "SELECT p_partkey FROM part WHERE starts_with(p_name, 'p')"),
-    "filter_endswith": ('t.part | where p_name endswith "7" | project p_partkey', "SELECT p_partkey FROM part WHERE ends_with(p_name, '7')"),
+    "filter_startswith": ('t.part | where p_name startswith "re" | project p_partkey', "SELECT p_partkey FROM part WHERE starts_with(p_name, 're')"),
+    "filter_endswith": ('t.part | where p_name endswith "get" | project p_partkey', "SELECT p_partkey FROM part WHERE ends_with(p_name, 'get')"),
     "filter_has": ('t.documents | where text has "the" | project doc_id', "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)')"),
     "filter_has_cs": ('t.documents | where text has_cs "The" | project doc_id', "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9])The([^A-Za-z0-9]|$)')"),
     "filter_exists": ("t.customer | where exists(c_name) and not(exists(nothing)) | project c_custkey", "SELECT c_custkey FROM customer WHERE c_name IS NOT NULL"),
@@ -39,7 +45,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "project_nested": ("t.nation | project a.key=n_nationkey, a.name=n_name | project k=a.key, n=a.name", "SELECT n_nationkey AS k, n_name AS n FROM nation"),
     "extend": ("t.supplier | extend twice=s_acctbal * 2, s_nationkey=s_nationkey + 1", "SELECT s_suppkey, s_name, (s_nationkey + 1)::BIGINT AS s_nationkey, s_acctbal, s_acctbal * 2 AS twice FROM supplier"),
     "rename": ("t.region | project-rename key=r_regionkey, label=r_name", "SELECT r_regionkey AS key, r_name AS label FROM region"),
-    "extract": (r't.customer | project c_custkey, digits=extract("([A-Za-z]+)#0*([0-9]+)", 2, c_name)', "SELECT c_custkey, NULLIF(regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 2), '') AS digits FROM customer"),
+    "extract": (r't.customer | project c_custkey, digits=tostring(extract("([A-Za-z]+)#0*([0-9]+)", 2, c_name))', "SELECT c_custkey, NULLIF(regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 2), '') AS digits FROM customer"),
     "datetime_filter": ("t.lineitem | where l_shipdate >= datetime(1995-01-01) and l_shipdate < datetime(1996-01-01) | summarize n=count()", "SELECT count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01'"),
     "timespan_shift": ("t.orders | project o_orderkey, later=o_orderdate + 36h | where later > datetime(1997-01-01)", "SELECT o_orderkey, o_orderdate + INTERVAL 36 HOUR AS later FROM orders WHERE o_orderdate + INTERVAL 36 HOUR > TIMESTAMP '1997-01-01'"),
     "timestamp_diff": ("t.events | project event_id, days=(@time - datetime(2020-01-01)) / 1d", "SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01'))::DOUBLE / 86400000000.0 AS days FROM events"),
@@ -75,12 +81,55 @@ PAIRS: dict[str, tuple[str, str]] = {
     "join_then_agg": ("t.lineitem | join (t.orders) on $left.l_orderkey == $right.o_orderkey | summarize n=count(), q=sum(l_quantity) by o_orderpriority", "SELECT o_orderpriority, count(*) AS n, sum(l_quantity)::DOUBLE AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"),
     "let_var": ("let big = t.orders | where o_totalprice > 150000; let keys = big | distinct o_custkey; keys | union (big | project o_custkey) | count", 'SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_totalprice > 150000) + (SELECT count(*) FROM orders WHERE o_totalprice > 150000) AS "Count"'),
     "raw_sql": ('t.nation.raw("select n_regionkey, count(*) as n from nation group by n_regionkey") | where n_regionkey < 3', "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING n_regionkey < 3"),
-    "mv_expand_array": ("t.embeddings | where vec_id < 20 | mv-expand embedding | project vec_id, embedding=toreal(embedding)", "SELECT vec_id, unnest(embedding)::DOUBLE AS embedding FROM embeddings WHERE vec_id < 20"),
-    "mv_expand_embeddings": ("t.embeddings | mv-expand embedding | project vec_id, embedding=toreal(embedding)", "SELECT vec_id, unnest(embedding)::DOUBLE AS embedding FROM embeddings"),
+    "mv_expand_array": ("t.embeddings | mv-expand embedding | project vec_id, embedding=toreal(embedding)", "SELECT vec_id, unnest(embedding)::DOUBLE AS embedding FROM embeddings"),
     "array_index": ("t.embeddings | project vec_id, x=toreal(embedding[1]), none=embedding[5000]", "SELECT vec_id, embedding[2]::DOUBLE AS x, NULL::FLOAT AS none FROM embeddings"),
     "props_path": ("t.events | where props.k > 50 | summarize n=count(), s=sum(props.k) by event_type", "SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::DOUBLE) AS s FROM events WHERE json_extract(props, '$.k')::DOUBLE > 50 GROUP BY 1"),
     "props_group": ("t.events | summarize n=count(), d=dcount(event_type) by k=props.k | project k=tolong(k), n, d", "SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n, count(DISTINCT event_type) AS d FROM events GROUP BY 1"),
     "mv_expand_bag": ("t.events | mv-expand props | project event_id, v=toreal(props.k)", "SELECT event_id, json_extract(props, '$.k')::DOUBLE AS v FROM events"),
+    "mv_expand_zip": (
+        "t.embeddings | extend other=embedding | mv-expand embedding, other | summarize n=count(), same=countif(embedding == other) by vec_id",
+        "SELECT vec_id, len(embedding)::BIGINT AS n, len(embedding)::BIGINT AS same FROM embeddings WHERE len(embedding) > 0",
+    ),
+    "mv_expand_pairs": ("t.events | mv-expand kind=array props | project event_id, v=tostring(props)", "SELECT event_id, unnest(['k', json_extract_string(props, '$.k')]) AS v FROM events"),
+    # literals, names and strings of the language
+    "literals": (
+        't.region | project r_regionkey, a=0xFF, b=1.5e-1, c=TRUE, d=False, e="x\\ty\\u00e9", f=@"C:\\dir ""q""", g=1h / 1s, h=-7, i=tostring(-2.5), j=datetime(2024-02-29 12:30:00) // the rest of a line',
+        "SELECT r_regionkey, 255::BIGINT AS a, 0.15::DOUBLE AS b, true AS c, false AS d, 'x' || chr(9) || 'y' || chr(233) AS e, 'C:\\dir \"q\"' AS f, 3600::DOUBLE AS g, -7::BIGINT AS h, '-2.5' AS i, TIMESTAMP '2024-02-29 12:30:00' AS j FROM region",
+    ),
+    "literal_case": ("t.nation | where (n_regionkey == 1) == True or (n_nationkey > 20) == TRUE | project n_nationkey", "SELECT n_nationkey FROM nation WHERE n_regionkey = 1 OR n_nationkey > 20"),
+    "names_like_words": ("t.region | project count=r_regionkey, by=r_name, 5msABC=r_regionkey, top=1 | where count > 1 and 5msABC < 4", 'SELECT r_regionkey AS "count", r_name AS "by", r_regionkey AS "5msABC", 1::BIGINT AS "top" FROM region WHERE r_regionkey > 1 AND r_regionkey < 4'),
+    "comments": ("t.nation // all of them\n| where n_regionkey == 1 // or not\r\n| count", 'SELECT count(*) AS "Count" FROM nation WHERE n_regionkey = 1'),
+    "unary_minus": ("t.customer | where c_acctbal < -500 | project c_custkey, x=-1.5, y=c_acctbal * -2", "SELECT c_custkey, -1.5::DOUBLE AS x, c_acctbal * -2 AS y FROM customer WHERE c_acctbal < -500"),
+    "now": ("t.events | where @time < now() and datetime() >= @time | summarize n=count(), past=countif(now() > datetime(2024-01-01))", "SELECT count(*) AS n, count(*) AS past FROM events WHERE ts < now()::TIMESTAMP"),
+    "precedence": ("t.part | where p_size + 2 * 3 == 10 or p_size > 45 and not(p_size - 1 >= 49) | project p_partkey, z=(p_size + 2) * 3 - 4 / 2", "SELECT p_partkey, (p_size + 2) * 3 - 4 / 2 AS z FROM part WHERE p_size + 6 = 10 OR (p_size > 45 AND NOT p_size - 1 >= 49)"),
+    "text_concat": ('t.customer | project c_custkey, label=c_mktsegment + "/" + c_name', "SELECT c_custkey, c_mktsegment || '/' || c_name AS label FROM customer"),
+    "errors_are_missing": ('t.customer | extend e=tolong(c_name), f=c_name * 2 | where not(exists(e)) and not(exists(f)) and not(f > 1 or e > 1) | summarize n=count(), g=countif(c_name - 1 > 0)', "SELECT 0::BIGINT AS n, 0::BIGINT AS g"),
+    "errors_leave_fields_out": ("t.customer | extend c_acctbal=tolong(c_name) | where c_acctbal > 0 | project c_custkey, c_acctbal", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0"),
+    "extract_null": ('t.customer | extend none=extract("z([0-9])?", 1, c_name), empty=extract("#(z*)", 1, c_name) | where none == null and empty == "" and exists(none) | summarize n=count()', "SELECT count(*) AS n FROM customer"),
+    # conditions that scans take
+    "filter_or_missing": ('t.nation | extend k=iff(n_nationkey > 10, n_nationkey, missing) | where k > 20 or n_regionkey == 1 | project n_nationkey', "SELECT n_nationkey FROM nation WHERE n_nationkey > 10 AND (n_nationkey > 20 OR n_regionkey = 1)"),
+    "filter_not_or": ("t.part | where not(p_size < 10 or p_retailprice > 905 and not(p_size == 20)) | project p_partkey", "SELECT p_partkey FROM part WHERE NOT (p_size < 10 OR (p_retailprice > 905 AND NOT p_size = 20))"),
+    "filter_in_mixed": ('t.nation | where n_nationkey in (1, "2", 3, null, true) | project n_nationkey', "SELECT n_nationkey FROM nation WHERE n_nationkey IN (1, 3)"),
+    "props_cross_type": ('t.events | where props.k < "a" and props.k >= 10 and not(props.k == "69") and props.none != 3 or props.k == 69 | summarize n=count()', "SELECT 0::BIGINT AS n"),
+    "props_compare": ("t.events | where props.k != 5 and 90 >= props.k and not(props.k in (7, 8.0)) | project event_id", "SELECT event_id FROM events WHERE json_extract(props, '$.k')::DOUBLE NOT IN (5, 7, 8) AND json_extract(props, '$.k')::DOUBLE <= 90"),
+    # least of nothing, keys of lists and objects
+    "least_of_nothing": ("t.orders | where o_orderkey < 0 | summarize lo=min(o_orderkey), hi=max(o_orderpriority) | project a=exists(lo), b=hi == null, c=lo < 0", "SELECT true AS a, true AS b, true AS c"),
+    "sort_lists": ("t.embeddings | top 7 by embedding desc, vec_id | project vec_id", "SELECT vec_id FROM embeddings ORDER BY embedding DESC, vec_id LIMIT 7"),
+    "sort_objects": ("t.nation | project o.name=n_name, n_nationkey | sort by o desc | limit 4 | project n_nationkey", "SELECT n_nationkey FROM nation ORDER BY n_name DESC LIMIT 4"),
+    # join keys that are missing or null, empty sides
+    "join_missing_key": (
+        "t.nation | project k=iff(n_regionkey > 1, n_regionkey, missing), n_name | join kind=outer (t.region | project k=iff(r_regionkey > 2, r_regionkey, missing), r_name) on k",
+        "SELECT coalesce(a.k, b.k)::BIGINT AS k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation WHERE n_regionkey > 1) a FULL JOIN (SELECT r_regionkey AS k, r_name FROM region WHERE r_regionkey > 2) b ON a.k = b.k",
+    ),
+    "join_missing_key_left": ("t.nation | project k=iff(n_regionkey > 1, n_regionkey, missing), n_name | join kind=left (t.region | project k=r_regionkey, r_name) on k", "SELECT n_regionkey::BIGINT AS k, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey > 1"),
+    "join_null_key": ("t.region | project k=null, a=r_regionkey | join (t.region | where r_regionkey < 2 | project k=null, b=r_regionkey) on k | project a, b", "SELECT x.r_regionkey AS a, y.r_regionkey AS b FROM region x, region y WHERE y.r_regionkey < 2"),
+    "join_null_key_numbers": ("t.events | project k=props.k, event_id | join (t.nation | project k=toreal(n_nationkey), n_name) on k | project event_id, n_name", "SELECT event_id, n_name FROM events JOIN nation ON json_extract(props, '$.k')::BIGINT = n_nationkey"),
+    "join_empty_right": ("t.region | project k=r_regionkey | join kind=left (t.nation | where n_nationkey < 0 | project k=n_regionkey, n_name) on k | project k", "SELECT r_regionkey AS k FROM region"),
+    "join_empty_side": ("t.region | where r_regionkey < 0 | project k=r_regionkey | join kind=right (t.nation | project k=n_regionkey, n_name) on k | project k, n_name", "SELECT n_regionkey AS k, n_name FROM nation"),
+    "join_empty_inner": ("t.region | project k=r_regionkey | join (t.nation | where n_nationkey < 0 | project k=n_regionkey) on k | count", 'SELECT 0::BIGINT AS "Count"'),
+    "join_unique_right": ("t.orders | project o_orderkey, k=o_custkey | join kind=left (t.orders | summarize n=count() by k=o_custkey) on k", "SELECT o_orderkey, o_custkey AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders"),
+    "join_selective": ('t.lineitem | join (t.orders | where o_orderpriority == "1-URGENT" and o_totalprice > 400000) on $left.l_orderkey == $right.o_orderkey | summarize n=count(), q=sum(l_quantity)', "SELECT count(*) AS n, coalesce(sum(l_quantity), 0)::DOUBLE AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000"),
+    "dcount": ("t.lineitem | summarize d=dcount(l_partkey), s=dcount(l_suppkey) by l_returnflag", "SELECT l_returnflag, count(DISTINCT l_partkey) AS d, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1"),
 }
 
 
@@ -131,6 +180,168 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tumbling(spark, f"{sf_dir}/events.parquet")
 
 
+def _file(spark: SparkSession, sf_dir: str, kind: str, text: str) -> DataFrame:
+    """A query over tables that are written as files of another format first."""
+    place = shared_folder(spark)
+    for name in ("nation", "region"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (df.write.option("header", "true") if kind == "csv" else df.write).format(kind).save(f"{place}/{name}.{kind}")
+    return Engine(spark, {"f": FileConnector(place, kind)}).query(text)
+
+
+def _files(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    text = "f.nation | where n_regionkey in (1, 3) | join (f.region) on $left.n_regionkey == $right.r_regionkey | project k=tolong(n_nationkey), name=tostring(n_name), region=tostring(r_name)"
+    return lambda spark, sf_dir: _file(spark, sf_dir, kind, text)
+
+
+def _file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = tables(spark, sf_dir)
+    engine.register("out", FileConnector(shared_folder(spark)))
+    engine.query("t.nation | where n_regionkey == 2 | write out.kept")
+    engine.query("t.nation | where n_regionkey == 4 | tee out.kept | count")
+    return engine.query("out.kept")
+
+
+def _tee_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tee in a variable that is used three times, one in a view, in a union and in a join: each writes its rows once."""
+    engine = tables(spark, sf_dir)
+    engine.create_view("v", "t.region | where r_regionkey == 0 | tee m.kept")
+    engine.query("let k = t.region | where r_regionkey == 1 | tee m.kept; k | union (k) | join (k) on r_regionkey | union (views.v) | union (views.v) | union (t.region | where r_regionkey == 2 | tee m.kept) | count").collect()
+    return engine.query("m.kept")
+
+
+def _explain_writes_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = tables(spark, sf_dir)
+    engine.create_view("v", "t.region | tee m.kept")
+    text = engine.explain("let k = t.region | tee m.kept; k | union (views.v) | join (t.nation | tee m.kept) on $left.r_regionkey == $right.n_regionkey | write m.kept")
+    return spark.createDataFrame([(engine.connectors["m"].collections() == [], "tee" in text)], "nothing boolean, shown boolean")
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = tables(spark, sf_dir)
+    engine.connectors["m"].by_key("latest", "n_regionkey")
+    engine.query("t.nation | where n_nationkey < 5 | write m.latest")
+    engine.query("t.nation | where n_nationkey >= 20 | write m.latest")
+    return engine.query("m.latest | project k=tolong(n_regionkey), name=tostring(n_name)")
+
+
+def _config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connectors, the status collection and limits (which Spark does not need: it spills) from a configuration."""
+    import tempfile
+
+    place = FilePath(tempfile.mkdtemp()) / "config.json"
+    place.write_text(json.dumps({"connectors": {"t": {"type": "files", "root": sf_dir}, "m": {"type": "memory"}}, "query_status_collection": "m.log", "workflow_limits": {"join": 1, "sort": 1, "summarize": 1}}))
+    engine = Engine.from_config(spark, str(place))
+    list(engine.rows("t.orders | join (t.customer) on $left.o_custkey == $right.c_custkey | sort by o_totalprice | count", "q"))
+    return engine.query("m.log | project id=tostring(id), status=tostring(status)")
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan's parts are read by several tasks."""
+    place = shared_folder(spark)
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(6).write.parquet(f"{place}/lineitem.parquet")
+    df = Engine(spark, {"f": FileConnector(place)}).query("f.lineitem")
+    return df.select(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+
+
+def _cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readers that go away end their queries, progressive ones too."""
+    from .streaming.partial import partial_rows
+
+    engine = tables(spark, sf_dir)
+    engine.status = ("m", "log")
+    for name, rows in (("plain", engine.rows("t.customer", "plain")), ("partial", partial_rows(engine, "t.nation | union (t.nation) | top 40 by n_name", 0, "partial"))):
+        next(rows)
+        rows.close()
+    return engine.query("m.log | project id=tostring(id), status=tostring(status)")
+
+
+def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several errors of one query, with their places; what cannot be run; and unknown names."""
+    from .plans.parser import ParseError
+
+    found, engine = [], tables(spark, sf_dir)
+    for text in ("t.region | where\n| limit x | project a=(1 | count", "", "where x == 1", "t.none", "u.region", "nothing", "t.region | write t2.x", "t.region | frobnicate", "t.region | where a ==== 1"):
+        try:
+            engine.query(text).schema
+        except ParseError as e:
+            found += [(text, 400, p.line, p.column) for p in e.problems]
+        except (LookupError, ValueError) as e:
+            found.append((text, e.status, 0, 0))
+    return spark.createDataFrame(found, "query string, status long, line long, column long").groupBy("query").agg(F.max("status").alias("status"), F.count_if(F.col("line") > 0).alias("problems"), F.max("line").alias("line"))
+
+
+def _one_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of several types, if they are asked to be an error; nulls and missing keys are of every type."""
+    engine = tables(spark, sf_dir)
+    engine.options.one_type = True
+    engine.connectors["m"].rows(spark, "a", [{"k": 1, "s": 1}, {"k": "x", "s": 2.5}, {"k": None, "s": None}, {"s": 3}])
+    found = []
+    for text in ("m.a | summarize n=count() by k", "m.a | sort by k", "m.a | top 1 by s, k", "m.a | summarize n=count() by s", "m.a | sort by s"):
+        try:
+            engine.query(text).schema
+            found.append((text, True))
+        except ValueError:
+            found.append((text, False))
+    return spark.createDataFrame(found, "query string, fine boolean")
+
+
+def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service's pages: what they answer, in order."""
+    from .server import serve
+
+    engine = tables(spark, sf_dir)
+    server = serve(engine, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    found = []
+    calls = [
+        ("GET", "/health", None), ("GET", "/openapi.json", None), ("POST", "/query", {"query": "t.region | count"}), ("POST", "/query", {"query": "t.region | where"}), ("POST", "/query", {"query": "u.x"}),
+        ("POST", "/explain", {"query": "t.region | count"}), ("POST", "/connectors/n", {"type": "memory"}), ("GET", "/connectors/n", None), ("DELETE", "/connectors/n", None), ("GET", "/connectors/n", None),
+        ("POST", "/views/v", "t.region | limit 1"), ("GET", "/views/v", None), ("POST", "/query", {"query": "views.v | count"}), ("DELETE", "/views/v", None), ("GET", "/views/v", None), ("GET", "/metrics", None), ("GET", "/none", None),
+    ]
+    try:
+        for i, (method, path, body) in enumerate(calls):
+            request = urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}{path}", None if body is None else json.dumps(body).encode(), method=method)
+            try:
+                with urllib.request.urlopen(request, timeout=120) as r:
+                    found.append((i, method, path, r.status, "Count" in (text := r.read().decode()) and '{"Count"' in text))
+            except urllib.error.HTTPError as e:
+                found.append((i, method, path, e.code, False))
+    finally:
+        server.shutdown()
+    return spark.createDataFrame(found, "i long, method string, path string, status long, counted boolean")
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .server import arguments, configured
+
+    got = configured(spark, arguments(["--no-optimizations", "--dynamic-filter-max-distinct-values", "7", "--log-json", "--count-steps"])).options
+    return spark.createDataFrame([(got.pushdown, got.most_keys, got.count_steps)], "pushdown boolean, most_keys long, count_steps boolean")
+
+
+def _step_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = tables(spark, sf_dir)
+    engine.options.count_steps = True
+    list(engine.rows("t.nation | where n_regionkey == 1 | summarize n=count() by n_regionkey"))
+    return spark.createDataFrame([(step, n) for (step, _), n in engine.steps.items()], "step string, n long")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of collections without reading them."""
+    engine = tables(spark, sf_dir)
+    return spark.createDataFrame([(engine.stats("t", "lineitem")["bytes"] > 1000, engine.stats("t", "none") is None, engine.stats("m", "x") is None)], "files boolean, absent boolean, memory boolean")
+
+
+PROBLEMS = """
+SELECT * FROM (VALUES (E't.region | where\n| limit x | project a=(1 | count', 400, 3, 2), ('', 400, 0, 0), ('where x == 1', 400, 1, 1), ('t.none', 404, 0, 0), ('u.region', 404, 0, 0), ('nothing', 404, 0, 0), ('t.region | write t2.x', 404, 0, 0), ('t.region | frobnicate', 400, 1, 1), ('t.region | where a ==== 1', 400, 1, 1)) v(query, status, problems, line)
+"""
+SERVED = """
+SELECT i::BIGINT AS i, method, path, status::BIGINT AS status, counted FROM (VALUES (0, 'GET', '/health', 200, false), (1, 'GET', '/openapi.json', 200, false), (2, 'POST', '/query', 200, true), (3, 'POST', '/query', 400, false), (4, 'POST', '/query', 404, false),
+  (5, 'POST', '/explain', 200, false), (6, 'POST', '/connectors/n', 200, false), (7, 'GET', '/connectors/n', 200, false), (8, 'DELETE', '/connectors/n', 200, false), (9, 'GET', '/connectors/n', 404, false),
+  (10, 'POST', '/views/v', 200, false), (11, 'GET', '/views/v', 200, false), (12, 'POST', '/query', 200, true), (13, 'DELETE', '/views/v', 200, false), (14, 'GET', '/views/v', 404, false), (15, 'GET', '/metrics', 200, false), (16, 'GET', '/none', 404, false)) v(i, method, path, status, counted)
+"""
+FILES = "SELECT n_nationkey::BIGINT AS k, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey IN (1, 3)"
+
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "view_scan": (_view_scan, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1"),
     "tee_write": (_tee, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (2, 3)"),
@@ -138,6 +349,22 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "partial_union": (_partial, "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1"),
     "explain": (_explain, "SELECT true AS pushed"),
     "json_rows": (_json, "SELECT r_regionkey::BIGINT AS k, r_name AS n FROM region"),
+    "files_json": (_files("json"), FILES),
+    "files_csv": (_files("csv"), FILES),
+    "files_orc": (_files("orc"), FILES),
+    "files_sink": (_file_sink, "SELECT * FROM nation WHERE n_regionkey IN (2, 4)"),
+    "tee_once": (_tee_once, "SELECT * FROM region WHERE r_regionkey < 3"),
+    "explain_writes_nothing": (_explain_writes_nothing, "SELECT true AS nothing, true AS shown"),
+    "upsert": (_upsert, "SELECT n_regionkey::BIGINT AS k, n_name AS name FROM nation WHERE n_nationkey >= 20"),
+    "configuration": (_config, "SELECT 'q' AS id, 'success' AS status"),
+    "scan_parts": (_splits, "SELECT count(*) AS n, 6::BIGINT AS files FROM lineitem"),
+    "cancellation": (_cancelled, "SELECT unnest(['plain', 'partial']) AS id, 'cancelled' AS status"),
+    "problems": (_problems, PROBLEMS),
+    "keys_of_one_type": (_one_type, "SELECT * FROM (VALUES ('m.a | summarize n=count() by k', false), ('m.a | sort by k', false), ('m.a | top 1 by s, k', false), ('m.a | summarize n=count() by s', true), ('m.a | sort by s', true)) v(query, fine)"),
+    "service": (_served, SERVED),
+    "flags": (_flags, "SELECT false AS pushdown, 7::BIGINT AS most_keys, true AS count_steps"),
+    "step_counters": (_step_counters, "SELECT 'where' AS step, count(*) AS n FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'summarize', 1::BIGINT"),
+    "known_sizes": (_known, "SELECT true AS files, true AS absent, true AS memory"),
     "stream_tumbling": (_stream, "SELECT event_type, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS hour, count(*) AS n FROM events GROUP BY 1, 2"),
 }
 

@@ -22,14 +22,14 @@ class Unsupported(ValueError):
     status = 400
 
 
-def dynamic(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON objects, one a row as text, to one VARIANT column for each key that any of them has.
+def dynamic(lines: DataFrame, column: str = "value", fields: set[str] | None = None) -> DataFrame:
+    """JSON objects, one a row as text, to one VARIANT column for each key that any of them has, or for each of the fields.
 
-    The keys are found by one pass over all rows; a key that a row lacks is missing (NULL) there, a JSON null stays a null.
-    Texts that are no objects are left out.
+    Without fields the keys are found by one pass over all rows. A key that a row lacks is missing (NULL) there, a JSON null
+    stays a null. Texts that are no objects are left out.
     """
     rows = lines.select(F.try_parse_json(bare(column)).alias("v")).filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
-    keys = sorted(r.k for r in rows.select(F.explode(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))).alias("k")).distinct().collect())  # a schema's size
+    keys = sorted(fields) if fields is not None else sorted(r.k for r in rows.select(F.explode(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))).alias("k")).distinct().collect())  # a schema's size
     place = lambda k: "$['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"
     return rows.select(*(F.try_variant_get("v", place(k), "variant").alias(k) for k in keys))
 
@@ -42,7 +42,8 @@ class Connector:
     def collections(self) -> list[str]:
         return []
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
+    def read(self, spark: SparkSession, name: str, fields: set[str] | None = None) -> DataFrame:
+        """All rows; fields: those that the query can look at, where that is known, so that a source without a schema need not look for others."""
         raise NotFound(f"no collection {name!r}")
 
     def raw(self, spark: SparkSession, name: str, query: str) -> DataFrame:
@@ -51,6 +52,10 @@ class Connector:
     def append(self, spark: SparkSession, name: str, df: DataFrame) -> None:
         raise Unsupported(f"{self.kind} is no sink")
 
+    def stats(self, spark: SparkSession, name: str) -> dict[str, int] | None:
+        """What is known of a collection without reading it, such as {"bytes": n}; None if nothing is."""
+        return None
+
     def describe(self) -> dict:
         return {"type": self.kind}
 
@@ -87,9 +92,9 @@ class MemoryConnector(Connector):
         with self.lock:
             rows[row[key]] = {**row}
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
+    def read(self, spark: SparkSession, name: str, fields: set[str] | None = None) -> DataFrame:
         if name in self.keyed:
-            return dynamic(spark.createDataFrame([(json.dumps(r, default=str),) for r in self.keyed[name][1].values()], "value string"))
+            return dynamic(spark.createDataFrame([(json.dumps(r, default=str),) for r in self.keyed[name][1].values()], "value string"), fields=fields)
         if name not in self.frames:
             raise NotFound(f"no collection {name!r}")
         return self.frames[name]
@@ -100,17 +105,20 @@ class MemoryConnector(Connector):
             for line in df.select(F.to_json(F.struct("*")).alias("v")).toLocalIterator():
                 self.upsert(name, json.loads(line.v))
             return
-        kept = stored(spark, df)
+        kept = df if hasattr(df, "stored_at") else stored(spark, df)
         with self.lock:
             self.frames[name] = union(self.frames[name], kept) if name in self.frames else kept
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset, as in tests, a temporary one of this machine."""
+    """A fresh folder under spark.checkpoint.dir; where that is unset a temporary one, if all of Spark runs in this one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise Unsupported("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="weftlog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/weftlog/{uuid.uuid4().hex}"
@@ -119,7 +127,9 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 class FileConnector(Connector):
@@ -137,11 +147,12 @@ class FileConnector(Connector):
     def collections(self) -> list[str]:
         return sorted(self.paths)
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
+    def read(self, spark: SparkSession, name: str, fields: set[str] | None = None) -> DataFrame:
         path = self.paths.get(name, f"{self.root}/{name}.{self.format}")
         try:
             if self.format == "json":
-                df = dynamic(spark.read.text(path))
+                own = {alias: c for c, alias in self.aliases.get(name, {}).items()}
+                df = dynamic(spark.read.text(path), fields=None if fields is None else {own.get(f, f) for f in fields})
             else:
                 df = spark.read.format(self.format).options(**({"header": "true", "inferSchema": "true"} if self.format == "csv" else {})).load(path)
         except Exception as e:
@@ -160,6 +171,11 @@ class FileConnector(Connector):
     def append(self, spark: SparkSession, name: str, df: DataFrame) -> None:
         df.write.mode("append").format(self.format).save(self.paths.get(name, f"{self.root}/{name}.{self.format}"))
 
+    def stats(self, spark: SparkSession, name: str) -> dict[str, int] | None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(self.paths.get(name, f"{self.root}/{name}.{self.format}"))
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {"bytes": files.getContentSummary(place).getLength()} if files.exists(place) else None
+
     def describe(self) -> dict:
         return {"type": self.kind, "root": self.root, "format": self.format}
 
@@ -175,7 +191,7 @@ class TableConnector(Connector):
     def _name(self, name: str) -> str:
         return f"{self.database}.{name}" if self.database else name
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
+    def read(self, spark: SparkSession, name: str, fields: set[str] | None = None) -> DataFrame:
         if not spark.catalog.tableExists(self._name(name)):
             raise NotFound(f"no collection {name!r}")
         return spark.table(self._name(name))
