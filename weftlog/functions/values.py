@@ -112,16 +112,28 @@ def _flat(rank, n=None, i=None, s=None) -> Column:
 
 
 def _variant_flat(v: Column) -> Column:
-    n = as_(v, "double")
-    return (
-        F.when(F.is_variant_null(v), _flat(NULL))
-        .when(is_kind(v, NUMBER), _flat(NUMBER, n, _whole(n, as_(v, "decimal(38,0)"))))
-        .when(is_kind(v, STRING), _flat(STRING, s=as_(v, "string")))
-        .when(is_kind(v, BOOL), _flat(BOOL, as_(v, "int")))
-        .when(is_kind(v, TIMESTAMP), _flat(TIMESTAMP, F.unix_micros(as_(v, "timestamp")), F.unix_micros(as_(v, "timestamp"))))
-        .when(is_kind(v, ARRAY), _flat(ARRAY, s=F.to_json(v)))
-        .when(v.isNotNull(), _flat(OBJECT, s=F.to_json(v)))
-    )
+    def made(k: Column) -> Column:
+        n = as_(v, "double")
+        return (
+            F.when(k.isin(*KINDS[NUMBER]), _flat(NUMBER, n, _whole(n, as_(v, "decimal(38,0)"))))
+            .when(k.isin(*KINDS[STRING]), _flat(STRING, s=as_(v, "string")))
+            .when(k.isin(*KINDS[NULL]), _flat(NULL))
+            .when(k.isin(*KINDS[BOOL]), _flat(BOOL, as_(v, "int")))
+            .when(k.isin(*KINDS[TIMESTAMP]), _flat(TIMESTAMP, F.unix_micros(as_(v, "timestamp")), F.unix_micros(as_(v, "timestamp"))))
+            .when(k.isin(*KINDS[ARRAY]), _flat(ARRAY, s=F.to_json(v)))
+            .when(v.isNotNull(), _flat(OBJECT, s=F.to_json(v)))
+        )
+
+    return once(short_kind(v), made)
+
+
+def _keyed(flat: Column, items: Column) -> Column:
+    return F.struct(flat["rank"].alias("rank"), flat["n"].alias("n"), flat["i"].alias("i"), flat["s"].alias("s"), items.cast("array<struct<rank:int,n:double,i:decimal(38,0),s:string>>").alias("a"))
+
+
+def _variant_key(v: Column) -> Column:
+    items = F.when(is_kind(v, ARRAY), F.transform(as_(v, "array<variant>"), lambda x: F.coalesce(_variant_flat(x), _flat(NULL))))
+    return F.when(v.isNotNull(), once(_variant_flat(v), lambda flat: _keyed(flat, items)))
 
 
 def key(c: Column, t: T.DataType) -> Column:
@@ -131,9 +143,8 @@ def key(c: Column, t: T.DataType) -> Column:
     """
     fam, items = family(t), F.lit(None)
     if fam == DYNAMIC:
-        flat = _variant_flat(c)
-        items = F.when(is_kind(c, ARRAY), F.transform(as_(c, "array<variant>"), lambda x: F.coalesce(_variant_flat(x), _flat(NULL))))
-    elif fam == NUMBER:
+        return once(c, _variant_key)
+    if fam == NUMBER:
         flat = _flat(NUMBER, c, _whole(c.cast("double"), c.try_cast("decimal(38,0)")))
     elif fam == BOOL:
         flat = _flat(BOOL, c.cast("int"))
@@ -150,7 +161,7 @@ def key(c: Column, t: T.DataType) -> Column:
         flat = _flat(OBJECT, s=F.to_json(c))
     else:
         return F.lit(None).cast(KEY)
-    return F.when(c.isNotNull(), F.struct(flat["rank"].alias("rank"), flat["n"].alias("n"), flat["i"].alias("i"), flat["s"].alias("s"), items.cast("array<struct<rank:int,n:double,i:decimal(38,0),s:string>>").alias("a")))
+    return F.when(c.isNotNull(), _keyed(flat, items))
 
 
 def micros(span: Column) -> Column:
