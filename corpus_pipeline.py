@@ -39,7 +39,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark; all documents stay."""
-    return secrets.redact(docs, "text", "n_chars" if "n_chars" in docs.columns else None)
+    import public_tokenizers
+
+    return secrets.redact(docs, "text", "n_chars" if "n_chars" in docs.columns else None, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

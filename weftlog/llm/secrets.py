@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +27,60 @@ SENSITIVE = ("password", "passwd", "secret", "token", "api", "akia", "key", "aut
 SENSITIVE_RE, BETWEEN = re.compile("|".join(SENSITIVE[:5] + SENSITIVE[6:]), re.ASCII | re.IGNORECASE), re.compile(r"(?:\\[rn]|[^A-Za-z0-9]){0,32}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=\-]{16,}")
 #: The surrounding text on each side that may have the sensitive word and that primes the compressor, and the share of a string's bytes that must remain.
-AROUND, REMAINS = 512, 0.8
+AROUND, REMAINS = 512, 0.92
 #: Bytes that are compressed at once: zstandard leaves up to 63 literals as they are.
 PIECE = 48
-#: A dictionary of what code and configuration often hold, so that such identifiers compress away.
-IDENTIFIERS = (
+#: What stands before each piece, so that zstandard, which stores short blocks that save little, tells what the piece itself takes.
+KNOWN = b"username password passphrase credentials certificate signature environment variable configuration production "
+#: A dictionary, in lower case, of what code and configuration often hold, so that such identifiers compress away.
+IDENTIFIERS = KNOWN + (
     "access_token refresh_token client_secret client_id api_key secret_key private_key public_key authorization bearer "
-    "username password passphrase credentials certificate signature environment variable configuration production "
     "development staging database connection hostname localhost endpoint https://www. http:// example.com application/json "
     "content-type response request session cookie expires function return default import export const class static void "
-    "string number boolean undefined null true false AWS_ACCESS_KEY_ID AWS_SECRET_ACCESS_KEY DATABASE_URL placeholder "
-    "your-api-key-here changeme xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx 0123456789abcdef ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz "
+    "string number boolean undefined null true false aws_access_key_id aws_secret_access_key database_url placeholder "
+    "your-api-key-here changeme xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx 0123456789abcdef abcdefghijklmnopqrstuvwxyz "
+    "documentation/reference/page.html account settings user profile service implementation controller manager factory handler "
+    "builder provider repository project module package components folder bucket output release debug build source main java "
+    "python lib site-packages node_modules index.js style.css getuser set create update delete find list valid permission "
+    "content-length accept-encoding cache-control max_size timeout_seconds version beta server client usr local bin etc var home "
+    "docs guide install search login test_ unicode kubernetes.io amazonaws.com github.com ubuntu linux windows amd64 x86_64 config "
+    ".java .html .json .yaml .png 2024-01-01t00:00:00z v1/ v2/ 1.2.3 "
 ).encode()
+#: Words of a tokenizer's vocabulary that join the dictionary: so many of the most frequent ones, of so many letters at least.
+WORDS, LETTERS = 8_000, 4
+
+
+@cache
+def identifiers(file: str | None = None) -> bytes:
+    """The dictionary, with words of a vocabulary (a tokenizers file) if one is given, the most frequent last, where they are cheapest."""
+    if file is None:
+        return IDENTIFIERS
+    vocabulary = json.loads(Path(file).read_text())["model"]["vocab"]
+    words = (re.sub(r"^\W+|</w>$", "", w).lower() for w, _ in sorted(vocabulary.items(), key=lambda x: x[1]))
+    kept = [w for w in dict.fromkeys(words) if len(w) >= LETTERS and w.isascii() and w.isalpha()][:WORDS]
+    return " ".join(kept[::-1]).encode() + b" " + IDENTIFIERS
+
+
 HEX_BYTES = common.byte_class(b"0123456789abcdef")
 
 
-def novelty(text: str, start: int, end: int) -> float:
+def novelty(text: str, start: int, end: int, known: bytes = IDENTIFIERS) -> float:
     """Compressed bytes that text[start:end] adds, a byte of it, where dictionary and surroundings, but for copies of it, are known.
 
-    The string is compressed by pieces that are too short for zstandard to code letters by frequency, each with what stands
-    before it as known, so that only matches save bytes and random strings of few letters remain whole at every length.
+    All in lower case, since identifiers join words in every case. The string is compressed by pieces that are too short for
+    zstandard to code letters by frequency, each with what stands before it as known, so that only matches save bytes and
+    random strings of few letters remain whole at every length.
     """
     import zstandard as z
 
     part, far = text[start:end], AROUND + end - start
-    around = IDENTIFIERS + (text[max(0, start - far) : start].replace(part, " ")[-AROUND:] + " " + text[end : end + far].replace(part, " ")[:AROUND]).encode("utf-8", "replace")
-    raw, added = part.encode(), 0
+    around = known + (text[max(0, start - far) : start].replace(part, " ")[-AROUND:] + " " + text[end : end + far].replace(part, " ")[:AROUND]).lower().encode("utf-8", "replace")
+    raw, added = part.lower().encode(), 0
     size = -(-len(raw) // -(-len(raw) // PIECE))
+    settings = z.ZstdCompressionParameters.from_level(9, min_match=4, write_checksum=False, write_content_size=False, write_dict_id=False)
     for i in range(0, len(raw), size):
-        primed = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(around + b" " + raw[max(0, i - AROUND) : i], dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
-        added += len(primed.compress(raw[i : i + size])) - len(primed.compress(b""))
+        primed = z.ZstdCompressor(compression_params=settings, dict_data=z.ZstdCompressionDict(around + b" " + raw[max(0, i - AROUND) : i], dict_type=z.DICT_TYPE_RAWCONTENT))
+        added += len(primed.compress(KNOWN + raw[i : i + size])) - len(primed.compress(KNOWN))
     return added / len(raw)
 
 
@@ -64,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], known: bytes = IDENTIFIERS) -> list[tuple[int, int, str]]:
     """Strings of 16 characters and more with a digit and a letter, near a sensitive word, outside the base spans, that hardly compress; and all copies of those.
 
     Near is AROUND characters before or behind, or next to a string that is near, as the lines of a key are.
@@ -91,14 +118,14 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if not (re.search(r"[0-9]", part) and re.search(r"[A-Za-z]", part)):
             continue
         seen.append((a, b))
-        if is_near and part not in novel and novelty(text, a, b) >= REMAINS:
+        if is_near and part not in novel and novelty(text, a, b, known) >= REMAINS:
             novel.add(part)
     return [(a, b, "novel") for a, b in seen if text[a:b] in novel]
 
 
-def spans_of(text: str) -> list[tuple[int, int, str]]:
+def spans_of(text: str, known: bytes = IDENTIFIERS) -> list[tuple[int, int, str]]:
     base = base_spans(text)
-    return sorted(base + novel_spans(text, base), key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(base + novel_spans(text, base, known), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def suspects(column: pa.Array) -> np.ndarray:
@@ -115,10 +142,10 @@ def suspects(column: pa.Array) -> np.ndarray:
     return np.unique(np.searchsorted(offs, np.concatenate(at), "right") - 1)
 
 
-def find(column: pa.Array) -> dict[int, list[tuple[int, int, str]]]:
+def find(column: pa.Array, known: bytes) -> dict[int, list[tuple[int, int, str]]]:
     """Row number -> spans, for the rows that have any."""
     texts = column.take(pa.array(rows := suspects(column)))
-    found = {int(i): spans_of(t) for i, t in zip(rows, texts.to_pylist(), strict=True) if t}
+    found = {int(i): spans_of(t, known) for i, t in zip(rows, texts.to_pylist(), strict=True) if t}
     return {i: s for i, s in found.items() if s}
 
 
@@ -129,35 +156,39 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
 SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    common.release()
-    for batch in batches:
-        found = find(batch.column(1))
-        rows = [found.get(i, []) for i in range(batch.num_rows)]
-        counts = {f"n_{k}": pa.array([sum(s[2] == k for s in r) for r in rows], pa.int64()) for k in KINDS}
-        shas = [hashlib.sha256(listed([s for s in r if s[2] != "novel"]).encode()).hexdigest() for r in rows]
-        yield common.table(doc_id=batch.column(0), **counts, base_sha256=pa.array(shas, pa.string()), spans=pa.array([listed(r) for r in rows], pa.string()))
+def _scan(vocabulary: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
+        for batch in batches:
+            found = find(batch.column(1), identifiers(vocabulary))
+            rows = [found.get(i, []) for i in range(batch.num_rows)]
+            counts = {f"n_{k}": pa.array([sum(s[2] == k for s in r) for r in rows], pa.int64()) for k in KINDS}
+            shas = [hashlib.sha256(listed([s for s in r if s[2] != "novel"]).encode()).hexdigest() for r in rows]
+            yield common.table(doc_id=batch.column(0), **counts, base_sha256=pa.array(shas, pa.string()), spans=pa.array([listed(r) for r in rows], pa.string()))
+
+    return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """A row for each row of docs: counts of spans by kind, the digest of the patterns' spans, and all spans.
 
     Null or empty text has no spans (the digest is that of the empty string); null ids and repeated rows stay; an empty table
-    gives no rows; other columns play no part. Whole texts are scanned, however long.
+    gives no rows; other columns play no part. Whole texts are scanned, however long. vocabulary: a tokenizers file whose words
+    are no secrets.
     """
     common.tune(docs.sparkSession)
-    return common.two(docs, id_col, text_col).mapInArrow(_scan, SCANNED)
+    return common.two(docs, id_col, text_col).mapInArrow(_scan(vocabulary), SCANNED)
 
 
 REDACTED = "[REDACTED]"
 
 
-def _redact(at: int, chars: int | None):
+def _redact(at: int, chars: int | None, vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
         for batch in batches:
             column = batch.column(at)
-            if found := find(column):
+            if found := find(column, identifiers(vocabulary)):
                 texts = column.to_pylist()
                 for i, spans in found.items():
                     t, out, done = texts[i], [], 0
@@ -179,14 +210,16 @@ def _redact(at: int, chars: int | None):
     return run
 
 
-def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """docs with each secret replaced by a mark (overlapping ones by one); chars_col, if given, gets the new length of changed texts.
 
     All rows and columns stay; rows without secrets, null texts among them, are as they were.
     """
     common.tune(docs.sparkSession)
-    return docs.mapInArrow(_redact(docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None), docs.schema)
+    return docs.mapInArrow(_redact(docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None, vocabulary), docs.schema)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    import public_tokenizers
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
