@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
 import re
 import sys
@@ -52,6 +53,12 @@ def save(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFra
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Has the shuffle files of finished jobs deleted: Spark does that when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*saved: DataFrame) -> None:
     """Deletes saved tables that nothing will read again."""
     for df in saved:

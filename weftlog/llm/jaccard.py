@@ -317,7 +317,7 @@ def _posts(n_buckets: int, rule: Rule, boundary: int):
             cuts = np.searchsorted(bucket_of(even[order], n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cuts)).tolist()
             rows = [(b, POST, packed(**{k: v[cuts[b] : cuts[b + 1]] for k, v in x.items()})) for b in full]
-            rows += [(-1, kind, packed(**v)) for kind, v in made if len(next(iter(v.values())))]
+            rows += [(int(k.sum() % n_buckets), kind, packed(**v)) for kind, v in made if len(k := next(iter(v.values())))]
             yield common.table(bucket=pa.array([r[0] for r in rows], pa.int32()), kind=pa.array([r[1] for r in rows], pa.int32()), payload=pa.array([r[2] for r in rows], pa.binary()))
 
     return run
@@ -335,11 +335,16 @@ def pairs_of(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> dict[str
 
 
 def _lists(rule: Rule, boundary: int):
-    """What the lists of a bucket give: pairs to verify, and the members of lists that stay open."""
+    """What the lists of a bucket give: pairs to verify, and the members of lists that stay open; those of batches pass through."""
 
     def run(told: pa.Table) -> pa.Table:
         common.release()
-        parts = [unpacked(p) for p in told["payload"].to_pylist()]
+        kinds, payloads = told["kind"].to_pylist(), told["payload"].to_pylist()
+        passed = [(k, p) for k, p in zip(kinds, payloads, strict=True) if k != POST]
+        parts = [unpacked(p) for k, p in zip(kinds, payloads, strict=True) if k == POST]
+        del payloads
+        if not parts:
+            parts = [{k: np.zeros(0, t) for k, t in zip(FIELDS, (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint32), strict=True)}]
         # one that is alone in its list finds nothing
         keep = again(np.concatenate([p["element"] for p in parts]))
         lists = Lists({k: np.concatenate([p[k] for p in parts])[keep] for k in FIELDS})
@@ -359,7 +364,7 @@ def _lists(rule: Rule, boundary: int):
         ok = rule.alike(n[a], n[b]) & (np.maximum(n[a], n[b]) >= boundary)
         pairs = lists.pairs(np.concatenate([light[0], a[ok]]), np.concatenate([light[1], b[ok]]))
         rows = [(PAIRS, pairs, "a_id"), (MEMBERS, lists.members(long & ~lists.stands), "id")]
-        rows = [(kind, packed(**v)) for kind, v, k in rows if len(v[k])]
+        rows = [(kind, packed(**v)) for kind, v, k in rows if len(v[k])] + passed
         return pa.table({"bucket": pa.array([0] * len(rows), pa.int32()), "kind": pa.array([k for k, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
 
     return run
@@ -534,25 +539,31 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     slim = common.save(sets.select("id", "n", "key"))
     common.discard(told, sets)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
-    posts = common.save(nodes.select("id", "tie", "n", "entries", "sizes", "checks").mapInArrow(_posts(buckets, rule, boundary), POSTED), codec="none")
-    lists = common.save(posts.filter(F.col("kind") == POST).groupBy("bucket").applyInArrow(_lists(rule, boundary), POSTED), codec="none")
-    made = posts.filter(F.col("kind") != POST).unionByName(lists)
+    posts = nodes.select("id", "tie", "n", "entries", "sizes", "checks").mapInArrow(_posts(buckets, rule, boundary), POSTED)
+    made = common.save(posts.groupBy("bucket").applyInArrow(_lists(rule, boundary), POSTED), codec="none")
+    nodes_slim = common.save(nodes.drop("entries", "sizes", "checks"))
+    common.discard(nodes)
+    common.settle(spark)
+    nodes = nodes_slim
     of = lambda kind, names, schema: made.filter(F.col("kind") == kind).select("payload").mapInArrow(_unpack(names), schema)
     pairs = common.save(of(PAIRS, ("a_id", "a_tie", "b_id", "b_tie"), PAIR).distinct())
     near = common.save(plausible(pairs, nodes, rule))
     links = verified(near, rows, n, rule)
+    common.settle(spark)
     parts = components(links)
     left = unsettled(of(MEMBERS, MEMBER, "element long, id long, tie long, n long, pos long"), nodes, parts, pairs, rule, boundary)
-    common.discard(posts, lists, pairs, near)
+    common.discard(made, pairs, near)
     near = common.save(plausible(left, nodes, rule))
-    nodes_slim = common.save(nodes.select("key", *NODE, "n"))
+    slim_nodes = common.save(nodes.select("key", *NODE, "n"))
     common.discard(left, nodes)
+    common.settle(spark)
     more = verified(near, rows, n, rule)
     common.discard(near)
     if not more.isEmpty():
         parts = components(links.unionByName(more))
     common.discard(links, more)
-    return rows, slim, nodes_slim, parts
+    common.settle(spark)
+    return rows, slim, slim_nodes, parts
 
 
 def similar_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
