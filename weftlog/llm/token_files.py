@@ -17,7 +17,7 @@ from .tokens import tokenizer, vocabulary_size
 TOKENIZED = "shard int, doc_id long, before long, n long, ids binary, counts binary"
 BLOCKS = "shard int, before long, doc_ids array<bigint>, lengths binary, n_tokens long, lanes int, mark_steps array<int>, mark_words array<int>, mark_states binary, payload binary, crc32 long"
 #: Bytes of words that a worker keeps; tokenization is most of this operator's work.
-WORDS = 192 << 20
+WORDS = 256 << 20
 #: A block is closed when it has so many tokens; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 20
 

@@ -78,10 +78,6 @@ class WordTokenizer:
         """The library's own ids, text by text."""
         return [packed(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
-    def keep(self, word: str, ids: bytes) -> None:
-        self.memo[word] = ids
-        self.size += ENTRY + len(word) + len(ids)
-
     def learn(self, words: list[str]) -> None:
         """Pieces as they stand in texts."""
         plain, rest = [], []
@@ -92,7 +88,8 @@ class WordTokenizer:
                 rest.append(w)
         self.learn_cut([w for w, _ in plain], [x for _, x in plain])
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.keep(w, packed(e.ids))
+            self.memo[w] = ids = packed(e.ids)
+            self.size += ENTRY + len(w) + len(ids)
 
     def learn_cut(self, words: list[str], spelled: list[str]) -> None:
         """Words of letters and marks, in lower case with blanks between the two."""
@@ -103,8 +100,9 @@ class WordTokenizer:
             raw, at = ids.tobytes(), 0
             ends.append(len(raw))
             for w, end in zip(words[128 * k : 128 * k + 128], ends, strict=True):
-                self.keep(w, raw[at:end])
+                self.memo[w] = raw[at:end]
                 at = end + 4
+            self.size += (ENTRY + 4) * len(ends) + len(raw) + len(lines[k])
 
     def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
