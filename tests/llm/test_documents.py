@@ -250,10 +250,10 @@ def brute_repeats(rows, least=50):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize(("least", "block"), [(50, 4 << 20), (50, 2000), (30, 2000)])
-def test_remove_repeats(spark, rows, least, block):
+@pytest.mark.parametrize(("least", "block", "many"), [(50, 4 << 20, 1024), (50, 2000, 1024), (30, 2000, 1024), (50, 2000, 1), (50, 600, 4), (51, 2000, 0)])
+def test_remove_repeats(spark, rows, least, block, many):
     rows = [(i, t if t is None or len(t) < 5000 else t[:600]) for i, t in rows]
-    got = collections.Counter(tuple(r) for r in repeats.remove_repeats(table(spark, rows), least, block=block).collect())
+    got = collections.Counter(tuple(r) for r in repeats.remove_repeats(table(spark, rows), least, block=block, many=many).collect())
     assert got == brute_repeats(rows, least)
 
 
@@ -263,9 +263,26 @@ def test_remove_repeats_of_few_letters(spark):
     got = repeats.remove_repeats(table(spark, rows), with_kept=True).collect()
     assert collections.Counter(tuple(x)[:5] for x in got) == brute_repeats(rows)
     assert all(hashlib.sha256(x.kept).hexdigest() == x.kept_sha256 for x in got)
+    dealt = repeats.remove_repeats(table(spark, rows), block=1000, many=0).collect()  # every anchor's surroundings by halves
+    assert collections.Counter(tuple(x) for x in dealt) == brute_repeats(rows)
     assert repeats.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_one_anchor_in_all_documents(spark):
+    """Passages that agree around one anchor by 33 to 60 bytes, more on one side or the other."""
+    r = random.Random(4)
+    word = "".join(r.choices("abcdefgh", k=120))
+    rows = []
+    for i in range(200):
+        a, b = r.randint(0, 55), r.randint(60, 120)
+        rows.append((i, "".join(r.choices("xyz", k=40)) + word[a:b] + "".join(r.choices("uvw", k=40))))
+    want = brute_repeats(rows)
+    assert sum(x[2] > 0 for x in want) > 50
+    for many in (0, 3, 1024):
+        got = repeats.remove_repeats(table(spark, rows), block=900, many=many).collect()
+        assert collections.Counter(tuple(x) for x in got) == want
+
+
 def test_suffixes_by_place():
     rng = np.random.default_rng(3)
     texts = rng.integers(97, 99, (300, 84)).astype(np.uint8)

@@ -5,6 +5,10 @@ both, so only the surroundings of anchors that several documents have can repeat
 anchor, equal ones (by hash, then by bytes) of a block joined beforehand; there the suffixes are put in order, and the previous
 and next ones of smaller documents in that order give the longest-previous-factor array: how long a string from each place on
 an earlier document has. What is removed goes back to the blocks of documents.
+
+An anchor that very many blocks have is no key for one task: its surroundings go to two buckets each, by the anchor with half of
+what stands before it and by the anchor with half of what follows. A string over the anchor has the one or the other whole, so
+all its places meet in one of the two.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ LEAST, GRAM = 50, 16
 BLOCK, BUCKET = 3 << 20, 12 << 20
 #: Surroundings in one suffix array, about.
 CHUNK = 8_000
+#: Blocks that may have an anchor before its surroundings are dealt by halves: cost only.
+MANY = 1024
 #: Bytes of text whose anchors are found at once.
 STRIP = 128 << 10
 ONE = np.uint64(1)
@@ -290,19 +296,23 @@ def _announce(least: int, n: int, width: int):
     return run
 
 
-def _shared(width: int):
-    """The anchors of a bucket that more than one block has, or more than one document of a block, for each of the blocks."""
+def _shared(width: int, many: int):
+    """The anchors of a bucket that more than one block has, or more than one document of a block, for each of the blocks.
+
+    The lowest bit of a hash is now set where more than `many` blocks have it.
+    """
 
     def run(told: pa.Table) -> pa.Table:
         lists = [from_bytes(x, width) for x in told["hashes"].to_pylist()]
         s = np.sort(np.concatenate([*lists, np.zeros(0, np.uint64)]))
-        same = (s[1:] & ~ONE) == (s[:-1] & ~ONE)
-        several = np.unique(np.concatenate([s[1:][same], s[s & ONE == ONE]]) & ~ONE)
+        kinds, at, blocks = np.unique(s & ~ONE, return_index=True, return_counts=True)
+        keep = (blocks > 1) | (s[at + blocks - 1] & ONE == ONE)  # of equal ones those with the bit come last
+        several, flagged = kinds[keep], kinds[keep] | (blocks[keep] > many).astype(np.uint64)
         found = []
         for h in lists:
             h = h & ~ONE
             place = np.minimum(np.searchsorted(several, h), max(0, len(several) - 1))
-            found.append(to_bytes(h[several[place] == h], width) if len(several) else b"")
+            found.append(to_bytes(flagged[place[several[place] == h]], width) if len(several) else b"")
         return pa.table({"block": told["block"], "hashes": pa.array(found, pa.binary())}).filter(pa.array([bool(f) for f in found], pa.bool_()))
 
     return run
@@ -358,10 +368,11 @@ def _surround(least: int, n: int, short: int):
             row = blocks.to_pylist()[0]
             data, offs, ids, none = block = opened(row["ids"], row["ends"], row["data"])
             places, hashes, rows = anchored(block, least)
-            known = np.sort(np.concatenate([from_bytes(x, short) for x in shared["hashes"].to_pylist()]))
-            brief = shortened(hashes, short)
-            hit = known[np.minimum(np.searchsorted(known, brief), len(known) - 1)] == brief
-            places, hashes, rows = places[hit], hashes[hit], rows[hit]
+            flagged = np.sort(np.concatenate([from_bytes(x, short) for x in shared["hashes"].to_pylist()]))
+            known, brief = flagged & ~ONE, shortened(hashes, short)
+            place = np.minimum(np.searchsorted(known, brief), len(known) - 1)
+            hit = known[place] == brief
+            places, hashes, rows, crowded = places[hit], hashes[hit], rows[hit], (flagged[place[hit]] & ONE).astype(bool)
             left = np.minimum(before, places - offs[rows])
             right = np.minimum(least, offs[rows + 1] - places)
             texts = np.zeros((len(places), -(-(width + 2) // 8) * 8), np.uint8)
@@ -377,17 +388,29 @@ def _surround(least: int, n: int, short: int):
             new = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
             new = parted(new, order, lambda rows: texts[rows])
             at = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
             first = np.minimum.reduceat(ids[rows[order]], at)
             one = order[at]
-            cuts = np.searchsorted(bucket_of(h[at], n), np.arange(n + 1, dtype=np.uint64))
+            rare, often = np.flatnonzero(~crowded[one]), np.flatnonzero(crowded[one])
             ends = np.append(at, len(h))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                i, j = cuts[b], cuts[b + 1]
-                x, y = ends[i], ends[j]
-                out["bucket"].append(b)
-                out["block"].append(row["block"])
-                out["payload"].append(packed(first=first[i:j], texts=texts[one[i:j], : width + 2], places=places[order[x:y]].astype(np.uint32 if len(data) < 1 << 32 else np.int64), group=(group[x:y] - i).astype(np.uint32)))
+            deals = [(0, rare, h[at[rare]])]
+            for kind, half in enumerate(half_keys(texts[one[often], : width + 2], h[at[often]], before), 1):
+                deals.append((kind, often[half > 0], half[half > 0]))
+            for kind, some, by in deals:
+                bucket = bucket_of(by, n)
+                if kind:
+                    turn = np.argsort(bucket, kind="stable")
+                    some, bucket = some[turn], bucket[turn]
+                count = ends[some + 1] - ends[some]
+                edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+                spots = places[order[np.arange(edges[-1]) + np.repeat(ends[some] - edges[:-1], count)]].astype(np.uint32 if len(data) < 1 << 32 else np.int64)
+                group = np.repeat(np.arange(len(some)), count)
+                cuts = np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    i, j = cuts[b], cuts[b + 1]
+                    x, y = edges[i], edges[j]
+                    out["bucket"].append(b)
+                    out["block"].append(row["block"])
+                    out["payload"].append(packed(kind=kind, first=first[some[i:j]], texts=texts[one[some[i:j]], : width + 2], places=spots[x:y], group=(group[x:y] - i).astype(np.uint32)))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int64(), pa.binary()), strict=True)})
 
     return run
@@ -405,9 +428,10 @@ def _compare(least: int):
         for p in parts:
             texts = np.zeros((len(p["texts"]), -(-(width + 2) // 8) * 8), np.uint8)
             texts[:, : width + 2] = p["texts"]
-            h.append(spread(gram_hash(*(np.ascontiguousarray(texts[:, i : i + 8]).view(np.uint64).ravel() for i in (before, before + 8)))))
+            anchor = spread(gram_hash(*(np.ascontiguousarray(texts[:, i : i + 8]).view(np.uint64).ravel() for i in (before, before + 8))))
+            halves.append(half_keys(p["texts"], anchor, before))
+            h.append((anchor, *halves[-1])[p["kind"]])  # what the rows were dealt by
             k.append(keys_of(texts, h[-1]))
-            halves.append(half_keys(p["texts"], h[-1], before))
         h, k, halves = np.concatenate(h), np.concatenate(k), [np.concatenate(x) for x in zip(*halves, strict=True)]
         order = np.lexsort((first, k, h))
         new = np.concatenate([np.ones(1, bool), (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])])
@@ -496,7 +520,7 @@ def _cut(least: int, with_kept: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, with_kept: bool = False, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, with_kept: bool = False, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, many: int = MANY) -> DataFrame:
     """A row for each row of docs: its bytes, how many of them go, in how many spans, the digest of the rest (and the rest).
 
     A byte goes if a string of `least` bytes (24 to 120) over it also starts in a document of a smaller id; matches never cross
@@ -512,7 +536,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, with_kept: bool = False,
     total = blocks.agg(F.sum("size")).first()[0] or 0
     n, width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET)), hash_bytes(total)
     told = blocks.select("block", "ids", "ends", "data").mapInArrow(_announce(least, n, width), "bucket int, block long, hashes binary")
-    shared = told.groupBy("bucket").applyInArrow(_shared(width), "block long, hashes binary")
+    shared = told.groupBy("bucket").applyInArrow(_shared(width, many), "block long, hashes binary")
     around = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surround(least, n, width), "bucket int, block long, payload binary")
     found = around.groupBy("bucket").applyInArrow(_compare(least), "block long, payload binary")
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(least, with_kept), CUT + ", kept binary" * with_kept)
