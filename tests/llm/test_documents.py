@@ -568,3 +568,13 @@ def test_word_hashes_are_of_content():
     h = common.hash_words(data, starts, ends)
     words = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
     assert len(set(h.tolist())) == len(set(words)) and all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(h)) for j in range(len(h)))
+
+
+def test_more_partitions_for_more_input(spark, rows, monkeypatch):
+    """What the number of partitions follows changes no result."""
+    set_to = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [common.parts(spark, size, 10) for size in (0, 10 * set_to, 10 * set_to + 1)] == [set_to, set_to, set_to + 1]
+    docs = table(spark, rows)
+    want = collections.Counter(tuple(r) for r in jaccard.similar_links(docs, 3, 60, 100).collect())
+    monkeypatch.setattr(jaccard, "TEXTS", 1)
+    assert collections.Counter(tuple(r) for r in jaccard.similar_links(docs, 3, 60, 100).collect()) == want

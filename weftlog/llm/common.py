@@ -32,6 +32,11 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def parts(spark: SparkSession, size: int, each: int) -> int:
+    """How many partitions a shuffle of so many rows (or bytes) takes: the session's number, and more where one would get more than `each`."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; where that is unset a temporary one, if all of Spark runs in this one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

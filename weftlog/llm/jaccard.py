@@ -38,6 +38,8 @@ SHORT = 4
 VERIFY, MOST_LIGHT = 1.0, 40
 #: Postings that go to one bucket, about; pivots of more partners than this are dealt to several tasks.
 BUCKET, SPOKES = 500_000, 2_000
+#: Texts that come to one task to be compared, about.
+TEXTS = 50_000
 #: Members of one list in one batch from which on only their pivots go to the list's bucket; and the bit of n that marks those.
 COMBINE, STANDS = 64, np.uint32(1 << 31)
 #: Bytes of text that are hashed at once, of a batch whose elements are counted, and of sets whose entries are dealt out at once.
@@ -468,7 +470,7 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int, rule: Rule) -> DataFrame
     found, bloom = only(rows, wanted)
     texts = wanted.join(found, "id").select("a_id", "a_tie", "salt", "id", "tie", "text")
     first = F.when((F.col("a_id") == F.col("id")) & (F.col("a_tie") == F.col("tie")), 0).otherwise(1)
-    ordered = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a_id", "a_tie", "salt").sortWithinPartitions("a_id", "a_tie", "salt", first)
+    ordered = texts.repartition(common.parts(spark, 2 * pairs.count(), TEXTS), "a_id", "a_tie", "salt").sortWithinPartitions("a_id", "a_tie", "salt", first)
     out = common.save(ordered.mapInArrow(_verify(n, rule), PAIR))
     bloom.destroy()
     return out
@@ -538,7 +540,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     total = sets.agg(F.sum(F.octet_length("entries") / 8)).first()[0] or 0
     slim = common.save(sets.select("id", "n", "key"))
     common.discard(told, sets)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
+    buckets = common.parts(spark, int(total), BUCKET)
     posts = nodes.select("id", "tie", "n", "entries", "sizes", "checks").mapInArrow(_posts(buckets, rule, boundary), POSTED)
     made = common.save(posts.groupBy("bucket").applyInArrow(_lists(rule, boundary), POSTED), codec="none")
     nodes_slim = common.save(nodes.drop("entries", "sizes", "checks"))
@@ -666,7 +668,7 @@ def similar_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     few, bloom = only(rows, members)
     texts = members.join(few, "id").select("c_id", "c_tie", *NODE, "block", "rows", "text", pair)
     group = ["c_id", "c_tie", "p", "q"]
-    dealt = texts.select("c_id", "c_tie", "pair.p", "pair.q", *NODE, "block", "rows", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
+    dealt = texts.select("c_id", "c_tie", "pair.p", "pair.q", *NODE, "block", "rows", "text").repartition(common.parts(spark, members.agg(F.sum("blocks")).first()[0] or 0, TEXTS), *group).sortWithinPartitions(*group)
     counts = dealt.mapInArrow(_count_links(n, rule), "id long, tie long, k long").groupBy(*NODE).agg(F.sum("k").alias("k"))
     nodes = common.save(nodes.join(counts, list(NODE), "left").select("key", *NODE, (F.col("rows") + F.coalesce("k", F.lit(0))).alias("k")))
     bloom.destroy()

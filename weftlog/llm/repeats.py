@@ -534,7 +534,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, with_kept: bool = False,
     rows = common.two(docs, id_col, text_col).select(F.spark_partition_id().alias("task"), "id", "text")
     blocks = common.save(rows.mapInArrow(_blocks(block), BLOCKS), codec="none")
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    n, width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET)), hash_bytes(total)
+    n, width = common.parts(spark, total, BUCKET), hash_bytes(total)
     told = blocks.select("block", "ids", "ends", "data").mapInArrow(_announce(least, n, width), "bucket int, block long, hashes binary")
     shared = told.groupBy("bucket").applyInArrow(_shared(width, many), "block long, hashes binary")
     around = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surround(least, n, width), "bucket int, block long, payload binary")

@@ -18,6 +18,8 @@ TOKENIZED = "shard int, doc_id long, before long, n long, ids binary, counts bin
 BLOCKS = "shard int, before long, doc_ids array<bigint>, lengths binary, n_tokens long, lanes int, mark_steps array<int>, mark_words array<int>, mark_states binary, payload binary, crc32 long"
 #: Bytes of words that a worker keeps; tokenization is most of this operator's work.
 WORDS = 256 << 20
+#: Documents in one shard, about, where there are more than the session's shuffle partitions hold.
+SHARD = 250_000
 #: A block is closed when it has so many tokens; a longer document has a block of its own.
 BLOCK_TOKENS = 1 << 20
 
@@ -88,7 +90,7 @@ def write_token_files(docs: DataFrame, path: str, file: str, end_id: int = 1, id
     common.tune(spark)
     width = "<u2" if vocabulary_size(file) <= 1 << 16 and end_id < 1 << 16 else "<u4"
     rows = common.two(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = common.parts(spark, rows.count(), SHARD)
     ranged = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     ranged = ranged.select(F.spark_partition_id().alias("shard"), "id", "text")
     made = common.save(ranged.mapInArrow(_tokenize(file, end_id, width), TOKENIZED), f"{path}/tokenized")
