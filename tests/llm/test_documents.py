@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from weftlog.llm import common, decontaminate, jaccard, licenses, packing, quality, rans, repeats, secrets, token_files
+from weftlog.llm import common, decontaminate, jaccard, licenses, packing, quality, rans, repeats, secrets, token_files, tokens
 from weftlog.llm.tokens import WordTokenizer
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +53,28 @@ def test_tokens_are_the_librarys():
         assert np.frombuffer(t.ids([s])[0], "<u4").tolist() == plain.encode(s, add_special_tokens=False).ids
 
 
+def test_a_words_spellings_are_encoded_once():
+    t = WordTokenizer(FILE)
+    t.memo.clear()
+    t.ids(["Word word, WORD? (word) word#word9 ÉÀ! éà", "wOrd... don't"])
+    assert sorted(t.memo) == sorted(x.encode() for x in ("word", ",", "?", "(", ")", "#", "9", "éà", "!", "...", "don't"))
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_of_many_stretches(monkeypatch, file):
+    monkeypatch.setattr(tokens, "STRETCH", 16)
+    r, file = random.Random(3), public_tokenizers.path(file)
+    t, plain = WordTokenizer(file, 4000), Tokenizer.from_file(file)
+    parts = [*"abAB  ..,19\n\t|~'<é\u0301日🙂%&×", "word ", "Wörter, ", "don't ", "x" * 40, "<|endoftext|>"]
+    for _ in range(60):
+        texts = [r.choice([None, "", "".join(r.choices(parts, k=r.randint(1, 60)))]) for _ in range(r.randint(0, 12))]
+        expected = [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in t.ids(texts)] == expected
+        ids, offs = t.flat(pa.array(["before", *texts], pa.string()).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == expected
+    assert t.size < 4000 and (t.old or not t.by_word)
+
+
 def test_rans_round_trip():
     rng = np.random.default_rng(2)
     for n, kinds in ((0, 1), (1, 1), (5, 3), (700, 1), (5000, 400), (300_000, 9000)):

@@ -16,8 +16,8 @@ from .tokens import tokenizer, vocabulary_size
 
 TOKENIZED = "shard int, doc_id long, before long, n long, ids binary, counts binary"
 BLOCKS = "shard int, before long, doc_ids array<bigint>, lengths binary, n_tokens long, lanes int, mark_steps array<int>, mark_words array<int>, mark_states binary, payload binary, crc32 long"
-#: Bytes of words that a worker keeps; tokenization is most of this operator's work.
-WORDS = 256 << 20
+#: Bytes of words that a worker keeps; tokenization is most of this operator's work. An executor has a worker or two for each core.
+WORDS = 128 << 20
 #: Documents in one shard, about, where there are more than the session's shuffle partitions hold.
 SHARD = 250_000
 #: A block is closed when it has so many tokens; a longer document has a block of its own.
@@ -27,18 +27,24 @@ BLOCK_TOKENS = 1 << 20
 def _tokenize(file: str, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release(keep_words=True)
-        t, end = tokenizer(file, WORDS), np.array([end_id], width).tobytes()
+        t = tokenizer(file, WORDS)
         shard = before = None
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in t.ids(batch.column(2))]
-            sizes = np.array([len(x) // len(end) for x in ids], np.int64)
-            if shard is None and len(ids):
+            found, offs = t.flat(batch.column(2))
+            offs += np.arange(len(offs))  # each document before has one end id
+            ids = np.full(offs[-1], end_id, width)
+            own = np.ones(len(ids), bool)
+            own[offs[1:] - 1] = False
+            ids[own] = found
+            sizes, n = np.diff(offs), batch.num_rows
+            if shard is None and n:
                 shard, before = batch.column(0)[0].as_py(), 0
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            counts = np.bincount(np.frombuffer(b"".join(ids), width)).astype("<i8")
+            counts = np.bincount(ids).astype("<i8")
+            raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offs * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
             # how often each id occurs in the batch stands in a column of its own, in the batch's first row
-            yield common.table(shard=pa.array([shard] * len(ids), pa.int32()), doc_id=batch.column(1), before=starts, n=sizes, ids=pa.array(ids, pa.binary()), counts=pa.array([counts.tobytes()] + [None] * (len(ids) - 1) if ids else [], pa.binary()))
+            yield common.table(shard=pa.array([shard] * n, pa.int32()), doc_id=batch.column(1), before=starts, n=sizes, ids=raw, counts=pa.array([counts.tobytes()] + [None] * (n - 1) if n else [], pa.binary()))
 
     return run
 
